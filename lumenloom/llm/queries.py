@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import copies, lookalike, mojibake, pii, residue
+from lumenloom.llm import abuse, copies, language, lookalike, mojibake, pii, residue
 from lumenloom.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,33 @@ def _pieces(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
 
+# --- 1 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def _p1_labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captions, one row per delivery, and the same with ``found`` (parts and stretches), every whole text read by the network."""
+    caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "primary_language", "language_status")
+    sure = caps.filter(~F.coalesce(F.lower(F.trim("language_status")), F.lit("")).isin("mixed", "undetermined", "no_text", "insufficient_text"))
+    params = language.train(language.sample_rows(sure, "original_text", language.known(F.col("primary_language")), "document_id"))
+    return caps, _pieces(caps.filter(F.length("original_text") > 0)).withColumn("found", language.detector(spark, params)("original_text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, df = _p1_labelled(spark, sf_dir)
+    parts = F.slice("found.parts", 1, 2).alias("parts")
+    df = df.select("document_id", language.known(F.col("primary_language")).alias("label"), (F.coalesce(F.lower(F.trim("language_status")), F.lit("")) == "mixed").alias("marked"), parts)
+    names = F.transform("parts", lambda x: x["language"])
+    has = F.coalesce(F.array_contains(names, F.col("label")), F.lit(False))
+    wrong = F.when(F.size("parts") >= 2, ~has | ~F.col("marked")).otherwise((F.size("parts") == 1) & ~has)
+    return df.filter(wrong).select("document_id", F.explode(names).alias("language")).distinct()
+
+
+def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, df = _p1_labelled(spark, sf_dir)
+    df = df.select("document_id", F.posexplode("found.stretches").alias("stretch_index", "s"))
+    return df.select("document_id", "stretch_index", "s.language", "s.letters", F.round("s.confidence", 4).alias("confidence")).distinct()
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -45,6 +72,34 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_pieces(captions), "original_text", parts).select("document_id", "redacted_text", F.coalesce(F.size("pii"), F.lit(0)).alias("replaced")).distinct()
 
 
+# --- 3 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def _p3_scored(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", *more)
+    texts = caps.select("document_id", "original_text")
+    params = abuse.train(abuse.sample_rows(_read(spark, sf_dir, "reviewer_labels", "document_id", "offensive"), texts), abuse.sample_plain(texts))
+    return _pieces(caps).withColumn("score", abuse.scorer(spark, params)("original_text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3_scored(spark, sf_dir).filter(F.col("score") > abuse.THRESHOLD).select("document_id").distinct()
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3_scored(spark, sf_dir).groupBy("document_id").agg(F.round(F.max("score"), 4).alias("score"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per source, year of collection and language; a post delivered twice counts once."""
+    df = _p3_scored(spark, sf_dir, "source", "primary_language", "ingested_at")
+    one = df.groupBy("document_id").agg(F.max("score").alias("score"), F.min(F.struct("ingested_at", "source", "primary_language")).alias("first"))
+    label = F.coalesce(language.known(F.col("first.primary_language")), F.lit("unknown"))
+    return one.groupBy(F.coalesce("first.source", F.lit("unknown")).alias("source"), F.year("first.ingested_at").alias("collection_year"), label.alias("language")).agg(
+        F.count("*").alias("captions"), F.count_if(F.col("score") > abuse.THRESHOLD).alias("abusive"), F.round(F.avg((F.col("score") > abuse.THRESHOLD).cast("double")), 6).alias("rate")
+    )
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -154,7 +209,7 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("kinds").alias("k")).select("doc_id", F.col("k.kind").alias("kind"), F.round("k.coverage", 6).alias("coverage"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_groups, p5_found, p5_canonical, p6_found, p6_restored, p9_found, p9_kinds)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_redacted, p3_found, p3_scores, p3_rates, p4_found, p4_groups, p5_found, p5_canonical, p6_found, p6_restored, p9_found, p9_kinds)}
 
 ORACLE: dict[str, str] = {
     "p4_found": _SQL_P4 + "SELECT record_table, keep_id, id AS copy_id FROM grouped WHERE id <> keep_id",
