@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import abuse, copies, language, lookalike, mojibake, pii, residue
+from lumenloom.llm import abuse, copies, language, lookalike, mixing, mojibake, packing, pii, residue
 from lumenloom.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,51 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6_rows(spark, sf_dir).select("record_table", F.col("document_id").alias("record_id"), "restored_text", "fully_restored").distinct()
 
 
+# --- 7 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents with their tokens, written once: counting tokens is the dear part and is used several times."""
+    docs = _pieces(_read(spark, sf_dir, "documents", "doc_id", "text", *columns))
+    return _kept(docs.select("doc_id", *columns, packing.count_tokens(F.col("text")).alias("tokens")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder of the session; one of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _sized(spark, sf_dir)
+    out = None
+    for spec in sorted(_read(spark, sf_dir, "container_specs").collect(), key=lambda r: r["capacity_tokens"]):  # a small table of capacities
+        one = packing.fill(docs, "doc_id", "tokens", spec["capacity_tokens"]).select(F.lit(spec["spec_name"]).alias("spec_name"), "container_id", F.col("item_id").alias("doc_id"), "piece", F.col("size").alias("tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = _read(spark, sf_dir, "container_specs")
+    used = p7_containers(spark, sf_dir).groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("t"))
+    j = used.join(F.broadcast(specs), "spec_name").groupBy("spec_name", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    return j.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf_dir, "source"), _read(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(p8_mix(spark, sf_dir), _read(spark, sf_dir, "mix_targets"))
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -209,7 +255,7 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("kinds").alias("k")).select("doc_id", F.col("k.kind").alias("kind"), F.round("k.coverage", 6).alias("coverage"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_redacted, p3_found, p3_scores, p3_rates, p4_found, p4_groups, p5_found, p5_canonical, p6_found, p6_restored, p9_found, p9_kinds)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_redacted, p3_found, p3_scores, p3_rates, p4_found, p4_groups, p5_found, p5_canonical, p6_found, p6_restored, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_kinds)}
 
 ORACLE: dict[str, str] = {
     "p4_found": _SQL_P4 + "SELECT record_table, keep_id, id AS copy_id FROM grouped WHERE id <> keep_id",
