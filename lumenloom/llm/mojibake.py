@@ -250,9 +250,14 @@ def _try_legacy(text: str) -> tuple[str, bool]:
     return _LEGACY.sub(swap, text), changed
 
 
+_SAFE = "\U0001f000-\U0001faff☀-➿️‍“”‘’…–—•"
+#: What any garbling leaves: two characters above ASCII side by side, a Han character against a Latin one, or a sign of loss.
+_GATE = re.compile(f"[^\x00-\x7f{_SAFE}][^\x00-\x7f]|[^\x00-\x7f][^\x00-\x7f{_SAFE}]|[A-Za-z][一-鿿]|[一-鿿][A-Za-z0-9]|[�\x80-\x9f]")
+
+
 def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
     """(restored text, whether a garbled stretch was found, whether nothing garbled is left)."""
-    if text.isascii():
+    if text.isascii() or not _GATE.search(text):
         return text, False, True
     now, found = text, False
     for _ in range(max_layers):
