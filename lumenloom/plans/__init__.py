@@ -1 +1,3 @@
+"""Query plans over the domain tables; importing this package registers them."""
 
+from lumenloom.plans import cubes, dedup, evaluation, grounding, longform, marts, sampling, sources, statistics, text, topics  # noqa: F401
