@@ -36,9 +36,9 @@ ALIASES = {
 
 #: Labelled rows per language that the network is fitted on, at most.
 SAMPLE_PER_LANGUAGE = 400
-HIDDEN = 40
-STEPS = (240, 480)  # batches before and after cleaning the labels
-BATCH, CROP = 128, 80
+HIDDEN = 32
+STEPS = (170, 330)  # batches before and after cleaning the labels
+BATCH, CROP = 128, 64
 #: Languages that share a script, drawn more often.
 WEIGHT = {"Malay": 6, "Indonesian": 5, "Tagalog": 3, "English": 4, "Spanish": 3, "Portuguese": 3, "French": 2, "German": 2, "Japanese": 2, "Chinese": 2}
 #: Bytes that the network reads in one piece, and that neighbouring pieces share.
