@@ -50,17 +50,18 @@ def blind(df: DataFrame, allowed: list[str], hidden: tuple[str, ...] = ("model",
     return df.select(*allowed)
 
 
-def coverage_sample(df: DataFrame, id_col: str, group: str, values: list[str], n: int, per_group: int = 2, candidates: int = 300) -> list:
+def coverage_sample(df: DataFrame, id_col: str, group: str, values: list[str], n: int, per_group: int = 2) -> list:
     """Greedy cover: each pick adds the most values not seen yet, at most ``per_group`` rows of a group.
 
-    Works on a bounded candidate list: for each value of each column the first rows by id, which is where any cover can start.
+    ``values`` are columns of few distinct values. For each value the first n rows by id are candidates: no cover of n rows
+    needs more of one value, and the list stays as long as values x n.
     """
     w = lambda v: W.partitionBy(v).orderBy(id_col)
     picks = None
     for v in values:
-        part = df.withColumn("__r", F.row_number().over(w(v))).filter(F.col("__r") <= per_group).drop("__r")
+        part = df.withColumn("__r", F.row_number().over(w(v))).filter(F.col("__r") <= n).drop("__r")
         picks = part if picks is None else picks.unionByName(part)
-    rows = [r.asDict() for r in picks.dropDuplicates([id_col]).orderBy(id_col).limit(candidates).collect()]
+    rows = [r.asDict() for r in picks.dropDuplicates([id_col]).orderBy(id_col).collect()]
     seen: set[tuple[str, object]] = set()
     used: dict[object, int] = {}
     out = []

@@ -1 +1,40 @@
-"""To be registered."""
+"""Raw exports into tables, keyed merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenloom.registry import query
+from lumenloom.sources import files
+from lumenloom.sources import tables as T
+
+
+@query("parsed_posts", "SELECT record_id, coalesce(json_extract_string(payload, '$.ownerId'), json_extract_string(payload, '$.author.id')) AS author_id, json_extract_string(payload, '$.url') AS url, lower(json_extract_string(payload, '$.hashtag')) AS hashtag, CAST(json_extract_string(payload, '$.likesCount') AS BIGINT) AS likes, json_extract_string(payload, '$.location.name') AS place, md5(json_extract_string(payload, '$.caption')) AS caption_md5 FROM raw_posts")
+def parsed_posts(spark, d):
+    """Two historical shapes in one table."""
+    p = files.posts(T.read(spark, d, "raw_posts", "record_id", "payload"), F.col("payload"), ["record_id"])
+    return p.select("record_id", "author_id", "url", "hashtag", "likes", "place", F.md5("caption").alias("caption_md5"))
+
+
+@query("export_profile", "SELECT export_name, count(*) AS records, CAST(epoch(min(exported_at)) AS BIGINT) AS first_export, CAST(epoch(max(exported_at)) AS BIGINT) AS last_export, count(DISTINCT json_extract_string(payload, '$.ownerId')) AS authors FROM raw_posts GROUP BY 1")
+def export_profile(spark, d):
+    """What each export holds."""
+    p = files.posts(T.read(spark, d, "raw_posts"), F.col("payload"), ["record_id", "export_name", "exported_at"])
+    return p.groupBy("export_name").agg(F.count("*").alias("records"), F.unix_timestamp(F.min("exported_at")).alias("first_export"), F.unix_timestamp(F.max("exported_at")).alias("last_export"), F.countDistinct("author_id").alias("authors"))
+
+
+@query("upserted_assessments", "WITH fresh AS (SELECT * FROM relevance_assessments WHERE assessed_at >= TIMESTAMPTZ '2026-03-01' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY assessed_at DESC, confidence DESC NULLS LAST, event_connection, primary_content_type) = 1), old AS (SELECT * FROM relevance_assessments WHERE assessed_at < TIMESTAMPTZ '2026-03-01' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY assessed_at DESC, confidence DESC NULLS LAST, event_connection, primary_content_type) = 1) SELECT document_id, confidence FROM old WHERE document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT document_id, confidence FROM fresh")
+def upserted_assessments(spark, d):
+    """Fresh rows replace old ones by key."""
+    a = T.read(spark, d, "relevance_assessments")
+    one = lambda x: T.one_per_key(x, ["document_id"], F.desc("assessed_at"), F.desc_nulls_last("confidence"), F.col("event_connection"), F.col("primary_content_type"))
+    cut = F.lit("2026-03-01").cast("timestamp")
+    return files.upsert(one(a.filter(F.col("assessed_at") < cut)), one(a.filter(F.col("assessed_at") >= cut)), ["document_id"]).select("document_id", "confidence")
+
+
+@query("uncached_requests", "SELECT document_id, sha256('v1|' || document_id) AS key FROM (SELECT DISTINCT document_id FROM instagram_captions) WHERE document_id NOT IN (SELECT document_id FROM relevance_assessments)")
+def uncached_requests(spark, d):
+    """Captions without an answer in the keyed table."""
+    key = files.cache_key(F.lit("v1"), F.col("document_id"))
+    req = T.read(spark, d, "instagram_captions", "document_id").distinct().withColumn("key", key)
+    return files.to_score(req, T.read(spark, d, "relevance_assessments", "document_id").withColumn("key", key), "key")
