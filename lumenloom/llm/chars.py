@@ -9,7 +9,6 @@ from functools import lru_cache
 CYRILLIC_LIKE = dict(zip("асеорхуіјѕԁһӏԛԝкмтвпАВЕКМНОРСТХІЈЅУԚԜҮӀ", "aceopxyijsdhlqwkmtbnABEKMHOPCTXIJSYQWYI", strict=True))
 GREEK_LIKE = dict(zip("αορνικυτηχεσωγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aopvikutnxeowyABEZHIKMNOPTYX", strict=True))
 OTHER_LIKE = dict(zip("ɑɡıȷɩʟᴀᴄᴅᴇᴊᴋᴍɴᴏᴘʀꜱᴛᴜᴠᴡᴢʏօսոհցѵꞲꓐꓚꓟ", "agijiLACDEJKMNOPRSTUVWZYouunhgvIBCM"[:35], strict=False))
-#: Cyrillic and Greek letters that never occur in place of a Latin one at small size; they only count inside a mixed word.
 IGNORABLE = frozenset("­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁥⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ")
 SPACES = frozenset("               　")
 LIKE = CYRILLIC_LIKE | GREEK_LIKE | OTHER_LIKE
@@ -65,3 +64,8 @@ def skeleton(ch: str) -> str:
     """What a letter looks like: its plain form, folded to Latin and lower case where it is drawn like a Latin letter."""
     p = plain(ch)
     return "".join(LIKE.get(c, c) for c in p).lower()
+
+
+def has_own_script(text: str) -> bool:
+    """Whether a text holds Cyrillic or Greek letters that are drawn like no Latin one: then it is written in that script."""
+    return any("\u0370" <= c <= "\u052f" and c not in LIKE and c.isalpha() for c in text)

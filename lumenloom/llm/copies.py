@@ -26,9 +26,10 @@ SALTS = 64
 def letters_and_digits(text: Column) -> Column:
     """Letters (with their marks) and digits of a text in order, case set aside; NULL like ''.
 
-    Upper case first: it writes out the letters whose capital is two letters.
+    Upper case first, as several small letters share a capital; the one letter that is written as two in capitals is written out.
     """
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", "")))
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}]+", "")
+    return F.lower(F.upper(F.regexp_replace(bare, "[ßẞ]", "ss")))
 
 
 def _fields(value, path: str, out: list[tuple[str, str]]) -> None:

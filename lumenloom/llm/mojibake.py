@@ -168,7 +168,8 @@ def _try_utf8(text: str, codec: str, deep: bool = False) -> tuple[str, bool]:
             meant = bytes(table[c] for c in run).decode("utf-8")
         except (UnicodeDecodeError, KeyError):
             return run
-        if not all(_sensible(c) or (deep and c in _bytes("cp1252")) for c in meant) or (not deep and cost(meant) >= cost(run)):
+        layer = deep or any(_utf8_runs(x).search(meant) for x in ("cp1252", "latin-1"))
+        if not all(_sensible(c) or (layer and c in _bytes("cp1252")) for c in meant) or (not deep and cost(meant) >= cost(run)):
             return run
         if codec in NATURAL and all(c in ORDINARY for c in run):
             return run  # ordinary Russian or Thai letters
@@ -278,6 +279,9 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
             options.append(got)
         for got in options:
             c = cost(got)
+            if TORN.search(got) or any("\x80" <= x <= "\x9f" for x in got):
+                # a layer in between is judged by what the next one makes of it
+                c = min([c, *(cost(x) + 0.1 for x, ok in (_try_utf8(got, codec) for codec in SINGLE[:6]) if ok)])
             if c < best_cost - 0.2:
                 best, best_cost, how = got, c, True
         if how is None:

@@ -123,7 +123,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-_SQL_LD = "lower(upper(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')))"
+_SQL_LD = "lower(upper(regexp_replace(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g'), '[ßẞ]', 'ss', 'g')))"
 _SQL_P4 = f"""
 WITH caps AS (SELECT DISTINCT 'instagram_captions' AS record_table, document_id AS id, {_SQL_LD.format('original_text')} AS o, {_SQL_LD.format('linguistic_text')} AS l FROM instagram_captions),
 tree AS (SELECT record_id, fullkey, CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE {_SQL_LD.format("json_extract_string(atom, '$')")} END AS v FROM raw_posts, json_tree(payload)),
