@@ -175,9 +175,14 @@ def _to(bare: str, mixed: list[str]) -> str:
     return bare
 
 
+#: Joiners between emoji, and characters that are their own consistent form whatever stands beside them.
+_PROPER = re.compile("[\U0001f000-\U0001faff☀-➿️]‍(?=[\U0001f000-\U0001faff☀-➿])")
+_PLAIN_ONLY = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ¡-©«¬®-±´-¸»-¿ạ-ỹẠ-ỸđĐơƠưƯăĂĩũ‐-‧‰-⁞€™☀-➿️、-〿ぁ-ゖァ-ヺー一-鿿가-힣，！？。：；（）\U0001f000-\U0001faff]*")
+
+
 def canonical(text: str, trie: Trie | None = None) -> str:
     """The consistent form of a text: plain letters, digits and spaces, composed letters, nothing invisible."""
-    if text.isascii():
+    if text.isascii() or _PLAIN_ONLY.fullmatch(_PROPER.sub("", text)):
         return text
     trie = trie or _empty()
     scripts = Counter(map(script, text))

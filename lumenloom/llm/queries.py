@@ -150,12 +150,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = []
         for t, h in zip(texts, tags, strict=True):
             found = []
-            if not (t and mojibake.repair(t)[1]):
-                if t and lookalike.canonical(t, trie) != t:
-                    found.append("original_text")
-                if h is not None and any(x and lookalike.canonical(x, trie) != x for x in h):
-                    found.append("hashtags")
-            out.append(found)
+            if t and lookalike.canonical(t, trie) != t:
+                found.append("original_text")
+            if h is not None and any(x and lookalike.canonical(x, trie) != x for x in h):
+                found.append("hashtags")
+            # a garbled caption is a case of problem 6 instead
+            out.append([] if found and t and mojibake.repair(t)[1] else found)
         return pd.Series(out)
 
     @F.pandas_udf("boolean")
