@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.chars import is_emoji
+from lumenloom.llm.chars import LIKE, is_emoji
 
 #: Encodings that texts are read with by mistake although their bytes are UTF-8.
 SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15", "cp866", "koi8-r", "cp874", "cp1258", "cp1254", "cp1253")
@@ -129,6 +129,33 @@ TORN = re.compile("ðŸ|â€|Ã[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’
 HIGH_RUN = re.compile("[\xa1-\xffŠšŽžŒœŸ€‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™›]{4,}")
 
 
+NATURAL = ("cp1251", "cp866", "koi8-r", "cp874")
+ORDINARY = frozenset(map(chr, [*range(0x410, 0x450), 0x401, 0x451, *range(0xE01, 0xE3B), *range(0xE40, 0xE4F)]))
+#: Encodings in which a lone pair can't be everyday spelling.
+PLAIN_PAIRS = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman")
+_THAI = frozenset(map(chr, range(0xE01, 0xE5C)))
+
+
+def _lone_pairs() -> re.Pattern:
+    """One accented letter or sign as a pair of another script or of rare letters, against a Latin letter; neither everyday spelling nor look-alikes."""
+    tails: dict[str, set[str]] = {}
+    west = _bytes("cp1252")
+    for codec in SINGLE:
+        if codec in PLAIN_PAIRS:
+            continue
+        back = {b: c for c, b in _bytes(codec).items()}
+        for lead in range(0xC2, 0xC6):
+            for tail in range(0x80, 0xC0):
+                a, z = back.get(lead), back.get(tail)
+                if a and z and not (a in ORDINARY and z in ORDINARY) and not (a in LIKE and z in LIKE) and not (a in west and z in west) and (z != "\xa0" or lead != 0xC2):
+                    tails.setdefault(a, set()).add(z)
+    pair = "|".join(f"{re.escape(a)}[{''.join(map(re.escape, sorted(z)))}]" for a, z in sorted(tails.items()))
+    return re.compile(f"(?<=[A-Za-z])(?:{pair})|(?:{pair})(?<!\xa0)(?=[A-Za-z])")
+
+
+LONE = _lone_pairs()
+
+
 def cost(text: str) -> float:
     """Garbling cost: odd characters, more where they stand against each other or inside words."""
     total, before = 0.0, ""
@@ -139,11 +166,7 @@ def cost(text: str) -> float:
                 c += 0.4
             total += c
         before = ch
-    return total + 2.0 * len(TORN.findall(text))
-
-
-NATURAL = ("cp1251", "cp866", "koi8-r", "cp874")
-ORDINARY = frozenset(map(chr, [*range(0x410, 0x450), 0x401, 0x451, *range(0xE01, 0xE3B), *range(0xE40, 0xE4F)]))
+    return total + 2.0 * (len(TORN.findall(text)) + len(LONE.findall(text)))
 
 
 @lru_cache(maxsize=65536)
@@ -160,6 +183,23 @@ def _plausible(text: str) -> bool:
 def _try_utf8(text: str, codec: str, deep: bool = False) -> tuple[str, bool]:
     """Replace each run that is UTF-8 under ``codec`` by its meaning where that lowers the cost (deep: even where it doesn't, for a layer in between)."""
     table, changed = _bytes(codec), False
+    signs: tuple[bool, bool] | None = None
+
+    def alone(m: re.Match, meant: str) -> bool:
+        """A lone pair is no everyday spelling: it stands against a Latin letter, or nothing else in the text is in its script."""
+        nonlocal signs
+        run, before, after = m.group(), text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]
+        left, right = before.isascii() and before.isalpha(), after.isascii() and after.isalpha()
+        if LONE.match(text, m.start()) and "\xa0" <= meant <= "ſ" and not (_THAI & {*run}):
+            return True
+        if signs is None:
+            # (letters of the script outside of all runs, a run that can only be garbled)
+            rest, own = _utf8_runs(codec).sub("", text), {c for c in table if c.isalpha() and c > "\xff" and not "Ā" <= c <= "ɏ"}
+            sure = any((len(x.group()) > 2 and not ORDINARY.issuperset(x.group())) or LONE.match(text, x.start()) for x in _utf8_runs(codec).finditer(text))
+            signs = any(c in own for c in rest), sure
+        if all(c in ORDINARY for c in run):
+            return (left and right and not _THAI & {*run}) or (not signs[0] and (left or right or signs[1]))
+        return not signs[0] and (signs[1] or codec in NATURAL or codec == "cp1253") and not all(c in LIKE for c in run)
 
     def swap(m: re.Match) -> str:
         nonlocal changed
@@ -168,13 +208,17 @@ def _try_utf8(text: str, codec: str, deep: bool = False) -> tuple[str, bool]:
             meant = bytes(table[c] for c in run).decode("utf-8")
         except (UnicodeDecodeError, KeyError):
             return run
+        lone = len(run) == 2 and codec not in PLAIN_PAIRS
+        if lone and not alone(m, meant):
+            return run
+        if len(run) > 2 and codec not in PLAIN_PAIRS and all("\xa0" <= c <= "ſ" for c in meant):
+            touch = LONE.search(text, m.start())
+            lone = bool(touch and touch.start() < m.end())
         layer = deep or any(_utf8_runs(x).search(meant) for x in ("cp1252", "latin-1"))
-        if not all(_sensible(c) or (layer and c in _bytes("cp1252")) for c in meant) or (not deep and cost(meant) >= cost(run)):
+        if not all(_sensible(c) or (layer and c in _bytes("cp1252")) for c in meant) or (not deep and not lone and cost(meant) >= cost(run)):
             return run
-        if codec in NATURAL and all(c in ORDINARY for c in run):
+        if not lone and codec in NATURAL and all(c in ORDINARY for c in run):
             return run  # ordinary Russian or Thai letters
-        if len(run) == 2 and codec not in ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman"):
-            return run  # one lone pair is everyday spelling in these
         changed = True
         return meant
 
@@ -269,16 +313,17 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
         for codec in SINGLE:
             got, ok = _try_utf8(now, codec)
             if ok:
-                options.append(got)
+                # Thai letters cost little, so lone pairs of them inside Latin text count here
+                options.append((got, 1.0 if codec == "cp874" and _THAI & {*now} and not _THAI & {*got} else 0.0))
         for codec in MULTI:
             got, ok = _try_multi(now, codec)
             if ok:
-                options.append(got)
+                options.append((got, 0.0))
         got, ok = _try_legacy(now)
         if ok:
-            options.append(got)
-        for got in options:
-            c = cost(got)
+            options.append((got, 0.0))
+        for got, gain in options:
+            c = cost(got) - gain
             if TORN.search(got) or any("\x80" <= x <= "\x9f" for x in got):
                 # a layer in between is judged by what the next one makes of it
                 c = min([c, *(cost(x) + 0.1 for x, ok in (_try_utf8(got, codec) for codec in SINGLE[:6]) if ok)])
@@ -303,7 +348,7 @@ _ODD = re.compile("[�\x80-\x84\x86-\x9f]|[┌-╬▀-▟⌐≡∩]|[ㄅ-ㄩ
 
 def residue(text: str) -> bool:
     """Signs of garbling that no round trip removes."""
-    if _ODD.search(text) or TORN.search(text):
+    if _ODD.search(text) or TORN.search(text) or LONE.search(text):
         return True
     for m in HIGH_RUN.finditer(text):
         run = m.group()

@@ -123,6 +123,19 @@ def test_restore_frame(spark):
     assert got == {"x": ("café “ok”", True), "y": (None, False), "z": ("", False)}
 
 
+@pytest.mark.parametrize("codec", ["cp1251", "cp1250", "cp866", "koi8-r", "cp1253", "cp1258", "cp874"])
+def test_lone_accents(codec):
+    back = {b: c for c, b in mojibake._bytes(codec).items()}
+    bad = "".join(back[b] for b in "Jalapeño für das café".encode())
+    assert mojibake.repair(bad) == ("Jalapeño für das café", True, True)
+
+
+def test_lone_pairs_that_stay():
+    for text in ("Еіght Віrds", "Expoรถติด", "Моя машина и её Run"):
+        assert mojibake.repair(text) == (text, False, True)
+    assert mojibake.residue("SeГ±or") and not mojibake.residue("Señor")
+
+
 # --- 2 personal information
 
 
