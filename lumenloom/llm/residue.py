@@ -5,8 +5,10 @@ stand in an inverted index from token to exemplar. Each document is read in
 overlapping windows of its passages; a window fetches the exemplars that
 share rare tokens with it, and the TF-IDF containment (share of the
 exemplar's weight found in the window, in order) decides. The weights come
-from token counts over all documents. Placeholders become typed tokens first,
-so their inner names do not matter.
+from token counts over all documents. Placeholders become typed tokens first
+(<ph_...>, so their inner names do not matter), and the words of filler runs
+(<key>, <rep>, <latin>); exemplars hold these tokens, and the patterns of a
+field or a run are a check after the match.
 """
 
 from __future__ import annotations
@@ -61,6 +63,14 @@ contenu à venir | texto de ejemplo sustituir antes de publicar | inserte aquí
 此处输入正文内容 | 在此输入内容 | ここに本文を入力してください | ダミーテキスト | 여기에 내용을 입력하세요
 """,
 }
+# Exemplars with fields (typed by their syntax, see _FIELDS; <ph_word> is one bracketed word, a field only in such a place) and runs of filler words.
+RESIDUE["placeholder"] = """
+<ph_code> | <ph_sign> | <ph_caps> | <ph_label> | <ph_date> | <ph_name> | <ph_null>
+dear <ph_word> | hello <ph_word> | hi <ph_word> | hey <ph_word> | hai <ph_word> | hallo <ph_word> | hola <ph_word> | kepada <ph_word> | estimado <ph_word> | estimada <ph_word> | estimado a <ph_word> | sehr geehrte <ph_word> | sehr geehrter <ph_word> | sehr geehrte r <ph_word>
+cher <ph_word> | chère <ph_word> | caro <ph_word> | cara <ph_word> | prezado <ph_word> | prezada <ph_word> | 亲爱的 <ph_word> | 尊敬的 <ph_word> | 様 <ph_word> | thank <ph_word> | thanks <ph_word> | thanks to <ph_word> | thank you <ph_word> | gracias <ph_word>
+welcome to <ph_word> | congratulations <ph_word> | see you on <ph_word> | see you at <ph_word> | see you in <ph_word> | published by <ph_word> | winner of the day <ph_word> | finished in <ph_word> | the race in <ph_word> | by <ph_word>
+"""
+RESIDUE["filler"] += "<key> <key> <key> <key> <key> | <rep> <rep> <rep> | <qwerty> | <latin> <latin> <latin> <latin>"
 # Ordinary sentences about the same things; a window nearer to one of these is no match.
 ORDINARY = """
 the registration page kept throwing a <n> error until noon then it worked | my blog hosting crashed error <n> so this report is late | for <n> minutes the ballot page only showed 'something went wrong' then my slot came through | the payment page froze <n> times
@@ -68,6 +78,7 @@ an usher said 'access denied' and then winked at us | access to the stadium was
 the results site was down for maintenance and nobody could see their times | please enable your watch alarm said the captain and we did | we had to enable location on the app otherwise tracking did not start | we had to tick a box that we are not robots which at km <n> is debatable
 i build javascript apps for a living so sitting still hurts more than running | the robot vacuum was called null my son cheered for it at km <n> | i wrote todo stretch more on the fridge | page <n> of the club chronicle tells how the first race began | the name on my bib was simply missing a blank white strip
 situs pendaftarannya error <n> terus sampai siang akhirnya dapat juga | laman pendaftaran asyik keluar ralat <n> sampai tengah hari | la página daba error <n> hasta el mediodía pero al final entré | die anmeldeseite zeigte bis mittags nur fehler <n> dann lief es | tuve que demostrar <n> veces que no soy un robot
+i saw it <ph_word> photo | my coach wrote <ph_word> on every page of the plan in curly brackets | splits <ph_word> look easy
 报名网站一直显示 <n> 等到中午才恢复 | 系统崩溃了 <n> 次最后还是抢到了名额 | saya kena log masuk <n> kali sebelum dapat slot
 """
 
@@ -87,25 +98,49 @@ _FIELD_WORD = re.compile(r"(?:first|last|full|user|given|sur|nick|runner|event|r
 _NULLS = re.compile(r"(?:dear|hello|hi|hey)\s+(?:null|undefined|none|nan)\b|\bnull null\b|\bundefined undefined\b|\bin NaN (?:minutes|seconds|hours)\b|\bN/A(?:\s+N/A){2,}", re.I)
 
 
-def placeholders(text: str) -> list[tuple[int, int]]:
-    """Spans of fields of a template that nobody filled in."""
+#: Type of field by the pattern that it has.
+_FIELDS = ("ph_code", "ph_sign", "ph_caps", "ph_label", "ph_date")
+
+
+def fields(text: str) -> list[tuple[int, int, str, bool]]:
+    """Spans that have the syntax of a field, with their type and whether the patterns take them for one that nobody filled in."""
     out = []
     if any(c in text for c in "{[<%$#@_(*【") or "XX" in text or "DD" in text or "YYYY" in text or "MM/" in text:
-        for rx in _PLACEHOLDERS:
-            out += [m.span() for m in rx.finditer(text)]
+        for rx, kind in zip(_PLACEHOLDERS, _FIELDS, strict=True):
+            out += [(*m.span(), kind, True) for m in rx.finditer(text)]
         for m in _SINGLE.finditer(text):
             inner = m.group(1)
             words = re.split(r"[_ .]", inner)
-            greeted = _GREETING.search(text[max(0, m.start() - 40) : m.start()])
+            greeted = bool(_GREETING.search(text[max(0, m.start() - 40) : m.start()]))
             named = bool(_FIELD_WORD.match(inner))
-            if ("_" in inner and (named or inner.isupper() or m.group()[0] == "{" or greeted)) or (inner.isupper() and len(inner) > 3 and (named or greeted)) or (greeted and (named or len(words) == 1)) or (m.group()[0] == "【" and named):
-                out.append(m.span())
-    out += [m.span() for m in _NULLS.finditer(text)]
+            if ("_" in inner and (named or inner.isupper() or m.group()[0] == "{")) or (inner.isupper() and len(inner) > 3 and named) or (m.group()[0] == "【" and named):
+                out.append((*m.span(), "ph_name", True))
+            else:
+                out.append((*m.span(), "ph_word", greeted and ("_" in inner or (inner.isupper() and len(inner) > 3) or named or len(words) == 1)))
+    out += [(*m.span(), "ph_null", True) for m in _NULLS.finditer(text)]
     return out
 
 
+def placeholders(text: str) -> list[tuple[int, int]]:
+    """Spans of fields of a template that nobody filled in, by their patterns alone."""
+    return [(a, b) for a, b, _, sure in fields(text) if sure]
+
+
+def with_fields(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
+    """The text with a typed token in place of every field; of overlapping ones that which the patterns take for a field, then the first and longest."""
+    taken: list[tuple[int, int, str]] = []
+    for a, b, kind, _ in sorted(spans, key=lambda x: (not x[3], x[0], -x[1])):
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, kind))
+    out, last = [], 0
+    for a, b, kind in sorted(taken):
+        out += [text[last:a], f" <{kind}> "]
+        last = b
+    return "".join([*out, text[last:]])
+
+
 _URL = re.compile(r"https?://\S+|(?<!\w)/[\w./-]{2,}|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|my|sg|id|php|html|inc|py)\b(?:/\S*)?", re.I)
-_TOKEN = re.compile(r"<(?:n|w|u|ph)>|[a-zà-ɏͰ-ԯ]+(?:['’_][a-zà-ɏ]+)*|\d+|[⺀-鿿]|[ぁ-ヿ]|[가-힣]+|[஀-௿]+|[฀-๿]+|[Ḁ-ỿ]+")
+_TOKEN = re.compile(r"<(?:n|w|u|ph_[a-z]+|key|rep|qwerty|latin)>|[a-zà-ɏͰ-ԯ]+(?:['’_][a-zà-ɏ]+)*|\d+|[⺀-鿿]|[ぁ-ヿ]|[가-힣]+|[஀-௿]+|[฀-๿]+|[Ḁ-ỿ]+")
 
 
 def tokens(text: str) -> list[str]:
@@ -115,6 +150,12 @@ def tokens(text: str) -> list[str]:
     return ["<n>" if x.isdigit() else x for x in re.findall(_TOKEN, t)]
 
 
+#: Typed tokens that any text is full of.
+_LIGHT = frozenset(("<n>", "<w>", "<u>"))
+#: Other tokens that may stand between a greeting and its field, or among filler words.
+LOOSE = 4
+
+
 class Index:
     """Inverted index of the exemplars with their token weights."""
 
@@ -127,7 +168,7 @@ class Index:
         self.post: dict[str, list[int]] = {}
         for kind, text, bad in exemplars():
             toks = tokens(text)
-            weight = {t: (0.4 if t.startswith("<") else idf.get(t, default)) for t in toks}
+            weight = {t: (0.4 if t in _LIGHT else idf.get(t, default)) for t in toks}
             k = len(self.names)
             self.names.append((kind, bad))
             self.lists.append(toks)
@@ -136,7 +177,7 @@ class Index:
             self.total.append(sum(weight[t] for t in toks))
             # the rarest half of its tokens lead to an exemplar: a window that covers most of its weight has one of them
             for t in sorted(weight, key=lambda t: -weight[t])[: max(2, (len(weight) + 1) // 2)]:
-                if not t.startswith("<"):
+                if t not in _LIGHT:
                     self.post.setdefault(t, []).append(k)
 
     def containment(self, k: int, window: list[str]) -> float:
@@ -156,16 +197,18 @@ class Index:
                     last = keep
         return row[-1] / self.total[k] if self.total[k] else 0.0
 
-    def best(self, toks: list[str]) -> tuple[float, str] | None:
-        """Best match of residue over all windows of a passage; None where ordinary exemplars fit better."""
+    def best(self, toks: list[str], only: str = "") -> tuple[float, str] | None:
+        """Best match of residue (of one kind) over all windows of a passage; None where ordinary exemplars fit better."""
         hits: dict[int, list[int]] = {}
         for i, t in enumerate(toks):
             for k in self.post.get(t, ()):
                 hits.setdefault(k, []).append(i)
         best, good = (0.0, ""), 0.0
         for k, at in hits.items():
+            if only and self.names[k][1] and self.names[k][0] != only:
+                continue
             n = len(self.lists[k])
-            size = n + max(1, n // 4)
+            size = n + (LOOSE if self.lists[k][-1] in ("<ph_word>", "<latin>") else max(1, n // 4))
             seen = set()
             for i in at:
                 # every window that starts such that it can hold the exemplar around this hit
@@ -175,6 +218,8 @@ class Index:
                     seen.add(start)
                     window = toks[start : start + size]
                     there = set(window)
+                    if self.lists[k][-1].startswith("<ph_") and self.lists[k][-1] not in there:
+                        continue  # the words around a field without the field
                     if sum(w for t, w in zip(self.lists[k], self.weights[k], strict=True) if t in there) < 0.6 * self.total[k]:
                         continue  # not even out of order
                     c = self.containment(k, window)
@@ -225,23 +270,51 @@ def passages(text: str) -> list[str]:
     return [p for p in re.split(r"\n+", text) if p.strip()]
 
 
+def runs(toks: list[str]) -> list[list[str]]:
+    """The tokens with the words of filler typed, one stream for each sort that the passage has enough of for a run."""
+    own = lambda test, name: [name if test(i, t) else t for i, t in enumerate(toks)]
+    streams = (
+        (own(lambda i, t: bool(_KEYS.fullmatch(t)), "<key>"), "<key>", RUN - 1),
+        (own(lambda i, t: t in toks[max(0, i - RUN + 1) : i], "<rep>"), "<rep>", RUN - 2),
+        (own(lambda i, t: t.startswith("qwertyuiop") or bool(re.fullmatch(r"(asdf){2,}\w*", t)), "<qwerty>"), "<qwerty>", 1),
+        (own(lambda i, t: t in LATIN or t.startswith(STEMS), "<latin>"), "<latin>", 4),
+    )
+    return [stream for stream, name, least in streams if stream.count(name) >= least]
+
+
 def classify(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float]]:
     """(kind, coverage) for each kind of residue in a text; empty where there is none."""
     found: dict[str, float] = {}
-    if placeholders(text):
-        found["placeholder"] = 1.0
+
+    def match(toks: list[str], only: str = "") -> bool:
+        hit = index.best(toks, only)
+        if hit and hit[0] >= coverage:
+            found[hit[1]] = max(found.get(hit[1], 0.0), hit[0])
+            return True
+        return False
+
+    spans = fields(text)
+    if any(sure for *_, sure in spans):  # else the check after the match would refuse it
+        for p in passages(with_fields(text, spans)):
+            if "<ph_" in p:
+                match(tokens(p), "placeholder")
     for p in passages(text):
         toks = tokens(p)
         if not toks:
             continue
-        hit = index.best(toks)
-        if hit and hit[0] >= coverage:
-            found[hit[1]] = max(found.get(hit[1], 0.0), hit[0])
-        if filler_run(toks) or latin_run(toks):
-            found["filler"] = 1.0
+        match(toks)
+        if filler_run(toks) or latin_run(toks):  # the check, before the match as it is the cheaper part
+            for stream in runs(toks):
+                if match(stream, "filler"):
+                    break
     return sorted(found.items())
 
 
+def _java(pattern: str) -> str:
+    """The pattern for the JVM, which takes a bracket inside a class for a class of its own."""
+    return re.sub(r"(?<!\\)\[((?:[^\]\\]|\\.)+)\]", lambda m: "[" + re.sub(r"(?<!\\)\[", r"\\[", m.group(1)) + "]", pattern)
+
+
 def token_weights(docs: DataFrame, text: str = "text") -> tuple[dict[str, float], float]:
     """Inverse document frequencies over all documents of the exemplars' own tokens: a list as long as the exemplars."""
     own = sorted({t for _, x, _ in exemplars() for t in tokens(x) if not t.startswith("<")})
@@ -252,10 +325,15 @@ def token_weights(docs: DataFrame, text: str = "text") -> tuple[dict[str, float]
     words = F.array_distinct(F.concat(spaced, single))
     mine = docs.sparkSession.createDataFrame([(t,) for t in own], "t string")
     counts = docs.filter(F.col(text).isNotNull()).select(F.explode(words).alias("t")).join(F.broadcast(mine), "t").groupBy("t").agg(F.count("*").alias("n"))
-    n = max(1, docs.count())
+    # typed fields are counted by their patterns, where a text has a sign of one
+    t = F.when(F.col(text).rlike(r"[{\[<%$#@_(*【]|XX|DD|YYYY|MM/|(?i:\bnull\b|\bundefined\b|\bnan\b|\bn/a\b|\bnone\b)"), F.col(text))
+    typed = [(f"<{k}>", rx) for k, rx in zip((*_FIELDS, "ph_word", "ph_null"), (*_PLACEHOLDERS, _SINGLE, _NULLS), strict=True)]
+    row = docs.agg(F.count("*").alias("n"), *(F.count_if(t.rlike(("(?i)" if rx.flags & re.I else "") + _java(rx.pattern))).alias(k) for k, rx in typed)).first()
+    n = max(1, row["n"])
     have = {r["t"]: r["n"] for r in counts.collect()}  # no more rows than the exemplars have tokens
     # weights between those of a word in every tenth document and of one in a thousandth: the scale does not move with the corpus
     idf = {t: min(7.0, max(1.0, math.log((n + 1) / (have.get(t, 0) + 1)))) for t in own}
+    idf |= {k: min(7.0, max(1.0, math.log((n + 1) / (row[k] + 1)))) for k, _ in typed}
     return idf, 7.0
 
 

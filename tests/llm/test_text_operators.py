@@ -192,6 +192,21 @@ def test_ordinary_talk_is_no_residue(index, text):
     assert residue.classify(text, index) == []
 
 
+def test_fields_and_runs_are_matched_by_containment(index, monkeypatch):
+    assert "<ph_code>" in residue.tokens(residue.with_fields("Hi {{first_name}}, go", residue.fields("Hi {{first_name}}, go")))
+    assert {"<ph_code>", "<ph_word>", "<key>", "<rep>", "<latin>"} <= set(index.post)
+    texts = ("Hi {{first_name}}, thank you", "Dear [Runner], welcome", "blah asdf blah foo blah", "so so so so so", "elit sed quam ipsum magna")
+    assert [[k for k, _ in residue.classify(t, index)] for t in texts] == [["placeholder"]] * 2 + [["filler"]] * 3
+    monkeypatch.setattr(index, "post", {})  # without the index nothing is found
+    assert all(residue.classify(t, index) == [] for t in texts)
+
+
+def test_field_weights_are_counted(spark):
+    df = spark.createDataFrame([("Hi {{a}}",), ("[gallery x] 50 %",), (None,), *[("Dear [Runner]",)] * 9], "text string")
+    idf, _ = residue.token_weights(df)
+    assert idf["<ph_word>"] < idf["<ph_code>"] == idf["<ph_label>"] < idf["<ph_date>"]
+
+
 def test_find_residue_frame(spark):
     df = spark.createDataFrame([(1, "404 Not Found"), (2, None), (3, ""), (4, "A fine race. " * 3000 + "\nlorem ipsum dolor sit amet")], "doc_id long, text string")
     assert {r["doc_id"] for r in residue.find_residue(df).collect()} == {1, 4}
