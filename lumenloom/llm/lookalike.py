@@ -284,5 +284,19 @@ def normalize(df: DataFrame, text: str, words: list[tuple[str, int]], out: str =
     return df.withColumn(out, F.when(not_ascii(t), F.col("__c")).otherwise(t)).drop("__c")
 
 
+def normalize_all(df: DataFrame, texts: str, words: list[tuple[str, int]], out: str = "canonical_tags") -> DataFrame:
+    """Add the consistent forms of an array of texts as ``out``, in the same order; NULL stays NULL, plain ASCII passes through in the JVM."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<string>")
+    def udf(lists: pd.Series) -> pd.Series:
+        trie = _worker_trie(shared)
+        return lists.map(lambda x: None if x is None else [None if t is None else canonical(t, trie) for t in x])
+
+    t, odd = F.col(texts), F.coalesce(F.exists(texts, lambda x: F.coalesce(not_ascii(x), F.lit(False))), F.lit(False))
+    df = df.withColumn("__a", udf.asNondeterministic()(F.when(odd, t)))
+    return df.withColumn(out, F.when(odd, F.col("__a")).otherwise(t)).drop("__a")
+
+
 def garbled(texts: pd.Series) -> list[bool]:
     return [t is not None and mojibake.repair(t)[1] for t in texts]

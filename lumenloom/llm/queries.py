@@ -57,20 +57,25 @@ def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 2 -----------------------------------------------------------------------------------------------------------------------------------
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p2_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Every text field of the problem, and the name parts learned from all of them."""
     captions = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text").withColumnsRenamed({"document_id": "record_id", "original_text": "t"})
     mentions = _read(spark, sf_dir, "absa_mentions", "mention_id", "evidence_text").withColumnsRenamed({"mention_id": "record_id", "evidence_text": "t"})
     parts = pii.learn_parts([captions.select("t"), mentions.select("t")])
-    both = captions.withColumn("record_table", F.lit("instagram_captions")).unionByName(mentions.withColumn("record_table", F.lit("absa_mentions")))
+    both = captions.select(F.lit("instagram_captions").alias("record_table"), "record_id", F.lit("original_text").alias("field_name"), "t")
+    both = both.unionByName(mentions.select(F.lit("absa_mentions").alias("record_table"), "record_id", F.lit("evidence_text").alias("field_name"), "t"))
+    return both, parts
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both, parts = _p2_texts(spark, sf_dir)
     found = pii.detect(_pieces(both.filter(F.length("t") > 0)), "t", parts)
     return found.select("record_table", "record_id", F.explode(F.array_distinct(F.col("pii.pii_type"))).alias("pii_type")).distinct()
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captions = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text")
-    mentions = _read(spark, sf_dir, "absa_mentions", "mention_id", "evidence_text")
-    parts = pii.learn_parts([captions.select("original_text"), mentions.select("evidence_text")])
-    return pii.detect(_pieces(captions), "original_text", parts).select("document_id", "redacted_text", F.coalesce(F.size("pii"), F.lit(0)).alias("replaced")).distinct()
+    both, parts = _p2_texts(spark, sf_dir)
+    return pii.detect(_pieces(both), "t", parts).select("record_table", "record_id", "field_name", "redacted_text", F.coalesce(F.size("pii"), F.lit(0)).alias("replaced")).distinct()
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------------------------
@@ -172,9 +177,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the problem in its consistent form: texts in ``canonical_text``, hashtags in ``canonical_tags``."""
     words = _p5_vocabulary(spark, sf_dir)
-    df = _pieces(_read(spark, sf_dir, "absa_mentions", "mention_id", "evidence_text"))
-    return lookalike.normalize(df, "evidence_text", words).select("mention_id", "canonical_text").distinct()
+    caps = _pieces(_read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "hashtags"))
+    ment = _pieces(_read(spark, sf_dir, "absa_mentions", "mention_id", "evidence_text"))
+    caps = lookalike.normalize_all(lookalike.normalize(caps, "original_text", words), "hashtags", words)
+    fields = [
+        ("instagram_captions", "document_id", "original_text", caps.withColumn("canonical_tags", F.lit(None).cast("array<string>"))),
+        ("instagram_captions", "document_id", "hashtags", caps.withColumn("canonical_text", F.lit(None).cast("string"))),
+        ("absa_mentions", "mention_id", "evidence_text", lookalike.normalize(ment, "evidence_text", words).withColumn("canonical_tags", F.lit(None).cast("array<string>"))),
+    ]
+    out = None
+    for table, key, field, df in fields:
+        one = df.select(F.lit(table).alias("record_table"), F.col(key).alias("record_id"), F.lit(field).alias("field_name"), "canonical_text", "canonical_tags")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
 
 
 # --- 6 -----------------------------------------------------------------------------------------------------------------------------------

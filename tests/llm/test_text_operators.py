@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.llm import chars, copies, lookalike, mixing, mojibake, packing, pii, residue
+from lumenloom.llm import chars, copies, lookalike, mixing, mojibake, packing, pii, queries, residue
 
 
 # --- 4 copies
@@ -168,6 +168,27 @@ def test_learned_names_in_any_case(spark):
     assert got[3]["redacted_text"] is None and got[4]["redacted_text"] == ""
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Captions and mentions with one case in every field."""
+    d = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([("c1", "mail a@b.example.org", ["ｒun", "run"]), ("c2", "Fіrst", None), ("c3", None, [])], "document_id string, original_text string, hashtags array<string>").write.parquet(f"{d}/instagram_captions.parquet")
+    spark.createDataFrame([("m1", "call +60 18-555 8454"), ("m2", "ｒun"), ("m3", None)], "mention_id string, evidence_text string").write.parquet(f"{d}/absa_mentions.parquet")
+    return str(d)
+
+
+def test_every_field_is_redacted(spark, tables):
+    got = {(r["field_name"], r["record_id"]): (r["record_table"], r["redacted_text"], r["replaced"]) for r in queries.p2_redacted(spark, tables).collect()}
+    assert len(got) == 6 and got["evidence_text", "m1"] == ("absa_mentions", "call [PHONE]", 1) and got["original_text", "c1"] == ("instagram_captions", "mail [EMAIL]", 1)
+    assert got["evidence_text", "m3"][1] is None and got["original_text", "c3"][1] is None
+
+
+def test_every_field_has_a_canonical_form(spark, tables):
+    got = {(r["field_name"], r["record_id"]): (r["canonical_text"], r["canonical_tags"]) for r in queries.p5_canonical(spark, tables).collect()}
+    assert len(got) == 9 and got["hashtags", "c1"] == (None, ["run", "run"]) and got["hashtags", "c2"] == (None, None) and got["hashtags", "c3"] == (None, [])
+    assert got["original_text", "c2"] == ("First", None) and got["evidence_text", "m2"] == ("run", None) and got["evidence_text", "m3"] == (None, None)
+
+
 # --- 9 residue
 
 
