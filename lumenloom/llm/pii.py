@@ -9,8 +9,9 @@ stays exactly as it was.
 
 Names need more than their shape: parts of names are first learned from all
 rows of the given columns, from patterns that only names have (patronymics,
-titles, set phrases); a name is then two or more parts in a row. The learned
-list is bounded and broadcast.
+titles, set phrases); a name is then two or more parts in a row. The most
+frequent parts are broadcast; where there are more, the others are a table, and
+the words of a record outside the broadcast list are joined with it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lumenloom.llm.chars import IGNORABLE, LIKE, SPACES, plain, script
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
-#: Name parts kept for all workers, the most frequent ones: well below a MB.
+#: Name parts broadcast to all workers, the most frequent ones: well below a MB. The others are found by a join.
 MAX_PARTS = 20_000
 MIN_PART_ROWS = 2
 
@@ -318,8 +319,21 @@ def redact(text: str, parts: frozenset[str] = frozenset()) -> str:
     return "".join([*out, text[last:]])
 
 
-def learn_parts(frames: list[DataFrame], max_parts: int = MAX_PARTS, min_rows: int = MIN_PART_ROWS) -> list[str]:
-    """Name parts over every row of the given one-column frames of texts, the most frequent first, at most ``max_parts``.
+class Parts(list):
+    """The most frequent name parts, and in ``tail`` a table of all others (column ``part``) where there are more."""
+
+    tail: DataFrame | None = None
+
+
+def candidates(text: str, known: frozenset[str]) -> list[str]:
+    """Words of a text that can be name parts outside of ``known``, lower-cased as they are looked up."""
+    s, _ = normalise(text)
+    s = _MASK.sub(lambda m: "\x00" * len(m.group()), s)
+    return sorted({w for w in (*_WORDS.findall(s.lower()), *(x.lower() for x in _WORDS.findall(s))) if len(w) > 1} - known)
+
+
+def learn_parts(frames: list[DataFrame], max_parts: int = MAX_PARTS, min_rows: int = MIN_PART_ROWS) -> Parts:
+    """Name parts over every row of the given one-column frames of texts: the most frequent first, at most ``max_parts``, and the others as a table.
 
     Only the rows that hold a title, a patronymic or a set phrase go to Python.
     """
@@ -335,8 +349,27 @@ def learn_parts(frames: list[DataFrame], max_parts: int = MAX_PARTS, min_rows: i
         t = F.col(df.columns[0])
         part = df.filter(t.rlike(gate)).select(F.explode(seeds(t)).alias("part"))
         both = part if both is None else both.unionAll(part)
-    top = both.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows).orderBy(F.desc("n"), "part").limit(max_parts)
-    return [r["part"] for r in top.collect()]
+    counted = both.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    top = [r["part"] for r in counted.orderBy(F.desc("n"), "part").limit(max_parts + 1).collect()]
+    parts = Parts(top[:max_parts])
+    if len(top) > max_parts:
+        listed = counted.sparkSession.createDataFrame([(p,) for p in parts], "part string")
+        parts.tail = counted.join(F.broadcast(listed), "part", "left_anti").select("part")
+    return parts
+
+
+def _own_parts(df: DataFrame, text: str, shared, tail: DataFrame) -> DataFrame:
+    """Add ``__own``: the parts of the table that a text holds. Equal texts are joined once, by hash."""
+
+    @F.pandas_udf("array<string>")
+    def udf(texts: pd.Series) -> pd.Series:
+        known = frozenset(shared.value)
+        return texts.map(lambda t: candidates(t, known))
+
+    df = df.withColumn("__k", F.sha2(F.col(text), 256))
+    words = df.filter(F.col(text).isNotNull()).select("__k", text).dropDuplicates(["__k"]).select("__k", F.explode(udf.asNondeterministic()(F.col(text))).alias("part"))
+    own = words.join(tail, "part").groupBy("__k").agg(F.collect_set("part").alias("__own"))
+    return df.join(own, "__k", "left").drop("__k")
 
 
 def detect(df: DataFrame, text: str, parts: list[str]) -> DataFrame:
@@ -344,13 +377,15 @@ def detect(df: DataFrame, text: str, parts: list[str]) -> DataFrame:
 
     NULL gives NULL in both; an empty text has no findings. Texts are read whole.
     """
-    shared = df.sparkSession.sparkContext.broadcast(parts)
+    shared = df.sparkSession.sparkContext.broadcast(list(parts))
+    tail = getattr(parts, "tail", None)
 
     @F.pandas_udf("pii array<struct<start:int,end:int,pii_type:string>>, redacted_text string")
-    def udf(texts: pd.Series) -> pd.DataFrame:
-        known = frozenset(shared.value)
+    def udf(texts: pd.Series, more: pd.Series) -> pd.DataFrame:
+        listed = frozenset(shared.value)
         rows = []
-        for t in texts:
+        for t, own in zip(texts, more, strict=True):
+            known = listed if own is None or not len(own) else listed.union(own)
             if t is None:
                 rows.append((None, None))
                 continue
@@ -363,4 +398,5 @@ def detect(df: DataFrame, text: str, parts: list[str]) -> DataFrame:
         return pd.DataFrame(rows, columns=["pii", "redacted_text"])
 
     kept = [c for c in df.columns if c not in ("pii", "redacted_text")]
-    return df.withColumn("__p", udf.asNondeterministic()(F.col(text))).select(*kept, F.col("__p.pii").alias("pii"), F.col("__p.redacted_text").alias("redacted_text"))
+    df = df.withColumn("__own", F.lit(None).cast("array<string>")) if tail is None else _own_parts(df, text, shared, tail)
+    return df.withColumn("__p", udf.asNondeterministic()(F.col(text), F.col("__own"))).select(*kept, F.col("__p.pii").alias("pii"), F.col("__p.redacted_text").alias("redacted_text"))

@@ -168,6 +168,15 @@ def test_learned_names_in_any_case(spark):
     assert got[3]["redacted_text"] is None and got[4]["redacted_text"] == ""
 
 
+def test_parts_beyond_the_broadcast_list(spark):
+    df = spark.createDataFrame([("thanks to Aizatul bin Rosmawi",)] * 3 + [("Dr. Delia Hartigan came",)] * 2 + [("saw Delia Hartigan there",), (None,), ("",)], "t string")
+    whole = pii.learn_parts([df], min_rows=2)
+    short = pii.learn_parts([df], max_parts=2, min_rows=2)
+    assert whole.tail is None and set(short) == {"aizatul", "rosmawi"} and {r["part"] for r in short.tail.collect()} == set(whole) - set(short)
+    a, b = (sorted(pii.detect(df, "t", p).select("t", "redacted_text").collect(), key=str) for p in (whole, short))
+    assert a == b and "saw [NAME] there" in {r["redacted_text"] for r in b}
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Captions and mentions with one case in every field."""
