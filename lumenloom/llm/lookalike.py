@@ -6,8 +6,10 @@ foreign look-alike, an ignorable, a base letter with a separate mark) is read
 by a weighted edit automaton over the trie: look-alikes and ignorables cost
 nothing, a change of letter case costs a little, other edits cost one each and
 the budget bounds them. The cheapest, then most frequent word gives the
-canonical spelling. Tokens without such a word are normalised by table, so the
-size of the vocabulary never decides whether a field is normalised.
+canonical spelling. Tokens without such a word are normalised by table. Only
+the most frequent words are broadcast; where there are more, the looks of a
+text's tokens are joined with the table of all others, so the bound of the list
+never decides whether a field is normalised.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm import mojibake
 from lumenloom.llm.chars import IGNORABLE, LIKE, SPACES, is_emoji, is_mark, plain, script, skeleton
 
-#: The vocabulary holds at most this many words, the most frequent ones: some MB in every worker.
+#: The broadcast vocabulary holds at most this many words, the most frequent ones: some MB in every worker. The others are found by a join.
 VOCABULARY = 20_000
 MIN_DOCUMENTS = 3
 #: Edits beyond look-alikes that a canonical spelling may need; 0 keeps misspellings as they are.
@@ -85,6 +87,18 @@ class Trie:
         return sorted(out)
 
 
+class Joined:
+    """Two tries searched as one: the broadcast list and the words that a join found for one text."""
+
+    __slots__ = ("tries",)
+
+    def __init__(self, *tries: Trie) -> None:
+        self.tries = tries
+
+    def search(self, token: str, budget: float = BUDGET) -> list[tuple[float, int, str]]:
+        return sorted(x for t in self.tries for x in t.search(token, budget))
+
+
 #: A run of letters, marks, digits, styled forms and what hides between them.
 _TOKEN = re.compile(r"(?:[^\W_]|[̀-゙゚ͯ­͏​-‍⁠-⁤﻿᠋-᠎‎‏‪-‮⁦-⁩஀-௿฀-๿\U0001d400-\U0001d7ff])+")
 _JOINED = re.compile("[ऀ-෿؀-ۿក-៿က-႟]")
@@ -213,7 +227,7 @@ def canonical(text: str, trie: Trie | None = None) -> str:
         if not token.isascii():
             if _JOINED.search(token) and all(_joiner_is_proper(text, m.start() + k) for k, c in enumerate(token) if c in IGNORABLE):
                 token = _compose(token)
-            elif _CJK.search(token) or len(set(map(script, token)) - {""}) > 2:
+            elif _CJK.search(token) or len(set(map(script, token)) - {"", "LATIN", "CYRILLIC", "GREEK"}) > 2:
                 token = _compose("".join(map(plain, (c for c in token if c not in IGNORABLE))))
             else:
                 # a joiner at the edge may belong to the emoji beside it
@@ -225,8 +239,31 @@ def canonical(text: str, trie: Trie | None = None) -> str:
     return "".join(out)
 
 
-def vocabulary(columns: list[DataFrame], limit: int = VOCABULARY, min_documents: int = MIN_DOCUMENTS) -> list[tuple[str, int]]:
-    """The most frequent plainly spelled words over all given one-column frames of texts, with document counts.
+class Words(list):
+    """The most frequent words with their counts, and in ``tail`` a table of all others (``look``, ``word``, ``n``) where there are more."""
+
+    tail: DataFrame | None = None
+
+
+def _look(word: str) -> str:
+    """What words and tokens that the automaton takes for each other share."""
+    return "".join(skeleton(c) for c in unicodedata.normalize("NFC", word) if c not in IGNORABLE)
+
+
+def looks(text: str) -> list[str]:
+    """Looks of all the forms in which the tokens of a text may be looked up."""
+    out = set()
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if not token.isascii() and not _CJK.search(token):
+            bare = _compose("".join(map(plain, (c for c in token if c not in IGNORABLE))))
+            forms = (token, "".join(map(plain, token)), bare, "".join(LIKE.get(c, c) for c in bare), _cyrillic(bare))
+            out.update(_look(x.lower()) for x in forms)
+    return sorted(out - {""})
+
+
+def vocabulary(columns: list[DataFrame], limit: int = VOCABULARY, min_documents: int = MIN_DOCUMENTS) -> Words:
+    """The most frequent plainly spelled words over all given one-column frames of texts, with document counts, and all others as a table.
 
     Counted over every row; only the ``limit`` best come to the driver (a bounded list).
     """
@@ -238,8 +275,40 @@ def vocabulary(columns: list[DataFrame], limit: int = VOCABULARY, min_documents:
     all_words = parts[0]
     for p in parts[1:]:
         all_words = all_words.unionAll(p)
-    top = all_words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).orderBy(F.desc("n"), "word").limit(limit)
-    return [(r["word"], r["n"]) for r in top.collect()]
+    counted = all_words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    top = [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(limit + 1).collect()]
+    words = Words(top[:limit])
+    if len(top) > limit:
+        look = F.pandas_udf("string")(_look_all)
+        listed = counted.sparkSession.createDataFrame([(w,) for w, _ in words], "word string")
+        words.tail = counted.join(F.broadcast(listed), "word", "left_anti").select(look("word").alias("look"), "word", "n")
+    return words
+
+
+def _look_all(words: pd.Series) -> pd.Series:
+    return words.map(_look)
+
+
+def with_own(df: DataFrame, texts: Column, words: list[tuple[str, int]]) -> DataFrame:
+    """Add ``__own``: the words beyond the list that the tokens of ``texts`` (an array) may spell; NULL where the list holds all. Equal texts are joined once."""
+    tail = getattr(words, "tail", None)
+    if tail is None:
+        return df.withColumn("__own", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+
+    @F.pandas_udf("array<string>")
+    def udf(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: sorted({k for t in x if t for k in looks(t)}))
+
+    key = F.sha2(F.to_json(F.struct(texts.alias("t"))), 256)
+    df = df.withColumn("__k", key)
+    odd = df.filter(F.exists(texts, lambda x: F.coalesce(not_ascii(x), F.lit(False)))).select("__k", texts.alias("__t")).dropDuplicates(["__k"])
+    own = odd.select("__k", F.explode(udf.asNondeterministic()("__t")).alias("look")).join(tail, "look")
+    own = own.groupBy("__k").agg(F.collect_set(F.struct("word", F.col("n").cast("bigint").alias("n"))).alias("__own"))
+    return df.join(own, "__k", "left").drop("__k")
+
+
+def joined(trie: Trie, own) -> Trie | Joined:
+    return trie if own is None or not len(own) else Joined(trie, trie_of([(x["word"], x["n"]) for x in own]))
 
 
 def trie_of(words: list[tuple[str, int]]) -> Trie:
@@ -250,13 +319,13 @@ def trie_of(words: list[tuple[str, int]]) -> Trie:
 
 
 def canonical_udf(spark: SparkSession, words: list[tuple[str, int]]):
-    """An Arrow function text -> canonical text, NULL -> NULL. The vocabulary is broadcast once; its size is bounded."""
-    shared = spark.sparkContext.broadcast(words)
+    """An Arrow function (text, words beyond the list) -> canonical text, NULL -> NULL. The vocabulary is broadcast once; its size is bounded."""
+    shared = spark.sparkContext.broadcast(list(words))
 
     @F.pandas_udf("string")
-    def udf(texts: pd.Series) -> pd.Series:
+    def udf(texts: pd.Series, more: pd.Series) -> pd.Series:
         trie = _worker_trie(shared)
-        return texts.map(lambda t: None if t is None else canonical(t, trie))
+        return pd.Series([None if t is None else canonical(t, joined(trie, own)) for t, own in zip(texts, more, strict=True)], dtype=object)
 
     return udf
 
@@ -280,22 +349,24 @@ def normalize(df: DataFrame, text: str, words: list[tuple[str, int]], out: str =
     """Add the consistent form of ``text`` as ``out``; NULL stays NULL, plain ASCII passes through in the JVM."""
     udf = canonical_udf(df.sparkSession, words)
     t = F.col(text)
-    df = df.withColumn("__c", udf.asNondeterministic()(F.when(not_ascii(t), t)))
-    return df.withColumn(out, F.when(not_ascii(t), F.col("__c")).otherwise(t)).drop("__c")
+    df = with_own(df, F.array(t), words)
+    df = df.withColumn("__c", udf.asNondeterministic()(F.when(not_ascii(t), t), F.col("__own")))
+    return df.withColumn(out, F.when(not_ascii(t), F.col("__c")).otherwise(t)).drop("__c", "__own")
 
 
 def normalize_all(df: DataFrame, texts: str, words: list[tuple[str, int]], out: str = "canonical_tags") -> DataFrame:
     """Add the consistent forms of an array of texts as ``out``, in the same order; NULL stays NULL, plain ASCII passes through in the JVM."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    shared = df.sparkSession.sparkContext.broadcast(list(words))
 
     @F.pandas_udf("array<string>")
-    def udf(lists: pd.Series) -> pd.Series:
+    def udf(lists: pd.Series, more: pd.Series) -> pd.Series:
         trie = _worker_trie(shared)
-        return lists.map(lambda x: None if x is None else [None if t is None else canonical(t, trie) for t in x])
+        return pd.Series([None if x is None else [None if t is None else canonical(t, joined(trie, own)) for t in x] for x, own in zip(lists, more, strict=True)], dtype=object)
 
     t, odd = F.col(texts), F.coalesce(F.exists(texts, lambda x: F.coalesce(not_ascii(x), F.lit(False))), F.lit(False))
-    df = df.withColumn("__a", udf.asNondeterministic()(F.when(odd, t)))
-    return df.withColumn(out, F.when(odd, F.col("__a")).otherwise(t)).drop("__a")
+    df = with_own(df, t, words)
+    df = df.withColumn("__a", udf.asNondeterministic()(F.when(odd, t), F.col("__own")))
+    return df.withColumn(out, F.when(odd, F.col("__a")).otherwise(t)).drop("__a", "__own")
 
 
 def garbled(texts: pd.Series) -> list[bool]:

@@ -141,20 +141,21 @@ grouped AS (SELECT record_table, id, min(id) OVER (PARTITION BY record_table, o,
 # --- 5 -----------------------------------------------------------------------------------------------------------------------------------
 
 
-def _p5_vocabulary(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+def _p5_vocabulary(spark: SparkSession, sf_dir: str) -> lookalike.Words:
     return lookalike.vocabulary([_read(spark, sf_dir, "instagram_captions", "original_text"), _read(spark, sf_dir, "absa_mentions", "evidence_text")])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.sparkContext.broadcast(_p5_vocabulary(spark, sf_dir))
+    known = _p5_vocabulary(spark, sf_dir)
+    words = spark.sparkContext.broadcast(list(known))
     no = lookalike.not_ascii
 
     @F.pandas_udf("array<string>")
-    def fields(texts: pd.Series, tags: pd.Series) -> pd.Series:
-        trie = lookalike._worker_trie(words)
+    def fields(texts: pd.Series, tags: pd.Series, more: pd.Series) -> pd.Series:
+        listed = lookalike._worker_trie(words)
         out = []
-        for t, h in zip(texts, tags, strict=True):
-            found = []
+        for t, h, own in zip(texts, tags, more, strict=True):
+            trie, found = lookalike.joined(listed, own), []
             if t and lookalike.canonical(t, trie) != t:
                 found.append("original_text")
             if h is not None and any(x and lookalike.canonical(x, trie) != x for x in h):
@@ -164,15 +165,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series(out)
 
     @F.pandas_udf("boolean")
-    def differs(texts: pd.Series) -> pd.Series:
+    def differs(texts: pd.Series, more: pd.Series) -> pd.Series:
         trie = lookalike._worker_trie(words)
-        return texts.map(lambda t: bool(t) and lookalike.canonical(t, trie) != t and not mojibake.repair(t)[1])
+        return pd.Series([bool(t) and lookalike.canonical(t, lookalike.joined(trie, own)) != t and not mojibake.repair(t)[1] for t, own in zip(texts, more, strict=True)], dtype=bool)
 
     caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "hashtags")
     caps = _pieces(caps.filter(no(F.col("original_text")) | F.exists("hashtags", no)))
-    a = caps.select(F.lit("instagram_captions").alias("record_table"), F.col("document_id").alias("record_id"), F.explode(fields.asNondeterministic()("original_text", "hashtags")).alias("field_name"))
+    caps = lookalike.with_own(caps, F.concat(F.array("original_text"), F.coalesce("hashtags", F.array().cast("array<string>"))), known)
+    a = caps.select(F.lit("instagram_captions").alias("record_table"), F.col("document_id").alias("record_id"), F.explode(fields.asNondeterministic()("original_text", "hashtags", "__own")).alias("field_name"))
     ment = _pieces(_read(spark, sf_dir, "absa_mentions", "mention_id", "evidence_text").filter(no(F.col("evidence_text"))))
-    b = ment.filter(differs("evidence_text")).select(F.lit("absa_mentions").alias("record_table"), F.col("mention_id").alias("record_id"), F.lit("evidence_text").alias("field_name"))
+    ment = lookalike.with_own(ment, F.array("evidence_text"), known)
+    b = ment.filter(differs.asNondeterministic()("evidence_text", "__own")).select(F.lit("absa_mentions").alias("record_table"), F.col("mention_id").alias("record_id"), F.lit("evidence_text").alias("field_name"))
     return a.unionByName(b).distinct()
 
 

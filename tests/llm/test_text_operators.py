@@ -94,6 +94,18 @@ def test_normalize_nulls_and_clashing_columns(spark):
     assert got == ["run", None, ""]
 
 
+def test_words_beyond_the_broadcast_list(spark):
+    df = spark.createDataFrame([("the soap and the вода",)] * 3 + [("the cat",)] * 3 + [("I saw the ѕоар here",), ("это cкaжи вoдa нам",), (None,)], "t string")
+    whole, short = lookalike.vocabulary([df]), lookalike.vocabulary([df], limit=1)
+    assert whole.tail is None and short == [("the", 7)] and {r["word"] for r in short.tail.collect()} == {w for w, _ in whole} - {"the"}
+    a, b = (sorted(lookalike.normalize(df, "t", w).select("t", "canonical_text").collect(), key=str) for w in (whole, short))
+    assert a == b and "I saw the soap here" in {r["canonical_text"] for r in b}
+
+
+def test_three_scripts_in_one_token():
+    assert lookalike.canonical("my mаrαthon day") == "my marathon day"
+
+
 # --- 6 wrong encodings
 
 
