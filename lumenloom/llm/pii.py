@@ -42,10 +42,10 @@ DIGIT_WORDS = {
 STREET_FIRST = "jalan|jln|jl|lorong|lrg|persiaran|psrn|lebuh|lebuhraya|solok|lengkok|lintang|medan|changkat|pesiaran|leboh|laluan|langgak|gang|rue|avenue|boulevard|calle|avenida|rua|via|đường|phố|kalye|kalsada"
 STREET_LAST = "street|st|road|rd|lane|ln|avenue|ave|drive|drv|close|crescent|boulevard|blvd|court|terrace|square|way|grove|mews|walk|straße|strasse|weg|gasse|allee|platz"
 PLACE = "menara|dataran|tasik|kampung|kg|stadium|bukit|jambatan|taman|kota|bandar|teluk|pulau|sungai|pantai|masjid|sekolah|hotel|mall|gate|team|kelab|club|jalan|jln|lorong|persiaran|lebuh|solok|pangsapuri|unit|lot|no|hall|park|river|lake|bridge|hill|running|runners|marathon|city|united|harriers|pavilion|plaza|universiti|hospital|pasar"
-TITLE = r"dr|encik|puan|pn|cik|tuan|mr|mrs|ms|miss|prof|sir|datuk|dato|datin|tan sri|haji|hajah|ustaz|cikgu|herr|frau|señor|señora|sr|sra|monsieur|madame|mme"
+TITLE = r"dr|encik|en|puan|pn|cik|tuan|mr|mrs|ms|miss|prof|sir|datuk|dato|datin|tan sri|haji|hajah|ustaz|cikgu|herr|frau|señor|señora|sr|sra|don|doña|monsieur|madame|mme"
 PATRONYM = r"bin|binti|bte|bt|b\.|a/l|a/p|s/o|d/o|al|anak lelaki|anak perempuan"
 # Phrases that a person's name follows.
-CUES = r"thanks to|belongs to|birthday|credit goes to|step beside|my pacer|my coach|my neighbour|jurulatih saya|pelatih saya|pacer saya|kasih kepada|kasih buat|terima kasih banyak buat|banyak buat|milik|atas nama|mi entrenador|mi entrenadora|gracias a|merci à|mon coach|danke an|mein trainer|meu treinador|obrigado a|谢谢|感谢|我的教练|コーチの|contact person|ask for|call me|my name is|nama saya|me llamo|je m'appelle|ich heiße"
+CUES = r"thanks to|belongs to|birthday|credit goes to|step beside|my pacer|my coach|my neighbour|jurulatih saya|pelatih saya|pacer saya|kasih kepada|kasih buat|terima kasih banyak buat|banyak buat|milik|atas nama|mi entrenador|mi entrenadora|gracias a|merci à|mon coach|danke an|mein trainer|meu treinador|obrigado a|谢谢|感谢|我的教练|コーチの|contact person|ask for|call me|my name is|nama saya|me llamo|je m'appelle|ich heiße|я "
 
 
 _HIGH = re.compile("[^\x00-\x7f]")
@@ -102,7 +102,7 @@ _ONE = re.compile(r"\b(?:" + "|".join(w for w in DIGIT_WORDS if w.isascii()) + r
 _OH = re.compile(r"(?<=[\d+\- .(])[oO](?=[\d\- .)]*\d)|(?<=\d)[oOlI](?=[\d-])")
 
 
-_BRACKET_AT = re.compile(r"[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]")
+_BRACKET_AT = re.compile(r"[\(\[\{<]\s*(?:at|@|arroba|di)\s*[\)\]\}>]|\s@\s")
 _HAN_DIGIT = re.compile("[零〇一二三四五六七八九]{2}")
 _SPLIT_ASCII = re.compile("[^a-z]+")
 
@@ -185,8 +185,8 @@ def _place(word: str) -> bool:
 
 
 _CUE_WORDS = tuple(w.lower() for w in CUES.split("|"))
-_TITLE_WORDS = frozenset(TITLE.split("|"))
-_PATRONYM_WORDS = frozenset(PATRONYM.split("|")) - {"b\\.", "anak lelaki", "anak perempuan"} | {"anak"}
+_TITLE_WORDS = frozenset(w.split()[-1] for w in TITLE.split("|"))
+_PATRONYM_WORDS = frozenset(PATRONYM.split("|")) - {"b\\.", "anak lelaki", "anak perempuan"} | {"b", "anak"}
 _STREET = re.compile(rf"\b(?:{STREET_FIRST})\b|(?:{STREET_LAST})\b|[路街道巷目]", re.I)
 _SPLIT = re.compile(r"[^\w/]+")
 

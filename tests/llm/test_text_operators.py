@@ -180,6 +180,15 @@ def test_learned_names_in_any_case(spark):
     assert got[3]["redacted_text"] is None and got[4]["redacted_text"] == ""
 
 
+@pytest.mark.parametrize("text", ["Ahmad b. Ali came", "with Tan Sri Ahmad Zulkifli today", "we saw En. Ahmad Zulkifli", "then Doña Carmen Valdez sang"])
+def test_gates_let_every_pattern_through(text):
+    assert [k for _, _, k in pii.find(text)] == ["name"]
+
+
+def test_bracketed_at_without_a_disguised_dot():
+    assert [k for _, _, k in pii.find("write runner52 (di) post.example.my please")] == ["email"]
+
+
 def test_parts_beyond_the_broadcast_list(spark):
     df = spark.createDataFrame([("thanks to Aizatul bin Rosmawi",)] * 3 + [("Dr. Delia Hartigan came",)] * 2 + [("saw Delia Hartigan there",), (None,), ("",)], "t string")
     whole = pii.learn_parts([df], min_rows=2)
