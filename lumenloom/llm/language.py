@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm import mojibake, pii
-from lumenloom.llm.chars import IGNORABLE, LIKE, has_own_script, is_emoji, is_mark, plain
+from lumenloom.llm.chars import IGNORABLE, LIKE, has_own_script, plain
 from lumenloom.llm.gru import F32, Adam, BiGRU, pad, softmax
 
 LANGUAGES = ("English", "Malay", "Indonesian", "Chinese", "Tamil", "Japanese", "Spanish", "French", "German", "Portuguese", "Korean", "Thai", "Vietnamese", "Tagalog", "Russian")
@@ -35,14 +35,14 @@ ALIASES = {
 }
 
 #: Labelled rows per language that the network is fitted on, at most.
-SAMPLE_PER_LANGUAGE = 400
-HIDDEN = 40
-STEPS = (140, 560)  # batches before and after cleaning the labels
+SAMPLE_PER_LANGUAGE = 600
+HIDDEN = 32
+STEPS = (300, 500, 800)  # batches before the labels are cleaned, and after each time
 BATCH, CROP = 128, 72
-#: Languages that share a script, drawn more often.
-WEIGHT = {"Malay": 5, "Indonesian": 5, "Tagalog": 3, "English": 7, "Spanish": 3, "Portuguese": 3, "French": 2, "German": 2, "Japanese": 2, "Chinese": 2}
+#: Languages that are harder to tell from others in their script, drawn more often; all others once.
+WEIGHT = {"Malay": 4, "Indonesian": 4, "English": 4, "Tagalog": 2, "Spanish": 2, "Portuguese": 2, "French": 2, "German": 2}
 #: Lead in nats from which the first round overrules the label of a sentence.
-REJECT = 12.0
+REJECT = 8.0
 #: Bytes that the network reads in one piece, and that neighbouring pieces share.
 PIECE, OVERLAP = 320, 40
 #: Price of a change of language between two words, in nats.
@@ -53,6 +53,8 @@ NEAR = ("Malay", "Indonesian")
 #: A language is a part of a text from this share of its letters.
 PART = 0.2
 MIN_LETTERS = 6
+#: Cells of the table of words that the search for the best path holds at once.
+CELLS = 200_000
 
 
 def known(label: Column) -> Column:
@@ -62,26 +64,45 @@ def known(label: Column) -> Column:
 
 
 _DROP = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#＃@＠][\w.]*\w|(?<![A-Za-z])[Bb][Ii][Bb]\s+[A-Za-z\d]+|(?<![A-Za-z\d])(?=[A-Za-z]*\d)[A-Za-z\d]+(?![A-Za-z\d])|\b[A-Z]{2,}[-_][\w-]+|\[[A-Z_]+\]")
+#: Emoji, invisible characters and signs beyond ASCII: blanks, or nothing inside a word.
+_SIGNS = re.compile("[¡-©«-´¶-¹»-¿‐-‧‰-⁞₠-⯿　-〄〈-〰！-／：-＠［-｀｛-･️\U0001f000-\U0001faff]+")
+_HIDDEN = re.compile("[" + "".join(map(re.escape, sorted(IGNORABLE))) + "]+")
+_STYLED = re.compile("[０-ｚｦ-ﾝ℀-⅏Ⅰ-ⅿⒶ-ⓩﬀ-ﬆ\U0001d400-\U0001d7ff\U0001f130-\U0001f149]")
+_FOLD = str.maketrans(LIKE)
+_FOREIGN = re.compile("[" + "".join(map(re.escape, sorted(LIKE))) + "]")
+#: Two or more words with capitals inside a sentence: a name, whatever language it is in.
+_PROPER = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][\w'’]+(?: [A-ZÀ-Þ][\w'’]+)+")
+_CAPITAL = re.compile(r"(?<![^\W_])[A-ZÀ-Þ]")
+_HOUSE = re.compile(rf"\d.{{0,40}}\b(?:{pii.STREET_FIRST}|{pii.STREET_LAST})\b", re.I)
+
+
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group())
 
 
 def clean(text: str) -> str:
-    """The text that can be in a language: repaired, plain letters; tags, handles, addresses, codes and emoji become blanks of the same length after repair."""
+    """The text that can be in a language: repaired, plain letters; tags, handles, names, addresses, codes, signs and emoji become blanks."""
     if not text.isascii():
         text = mojibake.repair(text)[0]
-        text = unicodedata.normalize("NFC", "".join(map(plain, (c for c in text if c not in IGNORABLE))))
-        if not has_own_script(text):
-            text = "".join(LIKE.get(c, c) for c in text)
-        text = "".join(" " if is_emoji(c) or c in "️" else c for c in text)
+        text = _HIDDEN.sub("", text)
+        # ends of sentences stay, emoji and other signs go
+        text = _SIGNS.sub(lambda m: ". " if m.group()[0] in "。！？" else " ", text)
+        if not text.isascii():
+            if _STYLED.search(text):
+                text = "".join(map(plain, text))
+            text = unicodedata.normalize("NFC", text)
+            if _FOREIGN.search(text) and not has_own_script(text):
+                text = text.translate(_FOLD)
     if _HOUSE.search(text):
         # street addresses are names, whatever language they are in
         for rx in (pii._ADDRESS, pii._UNIT_STREET):
-            text = rx.sub(lambda m: " " * len(m.group()), text)
+            text = rx.sub(_blank, text)
     for rx in pii._patterns(text):
         text = rx.sub(lambda m: m.group()[: m.start("a") - m.start()] + " " * (m.end() - m.start("a")), text)
-    return _DROP.sub(lambda m: " " * len(m.group()), text)
-
-
-_HOUSE = re.compile(rf"\d.{{0,40}}\b(?:{pii.STREET_FIRST}|{pii.STREET_LAST})\b", re.I)
+    text = _DROP.sub(_blank, text)
+    if _PROPER.search(text) and 2 * len(_CAPITAL.findall(text)) < len(text.split()):
+        text = _PROPER.sub(_blank, text)
+    return text
 
 
 class Network:
@@ -149,12 +170,25 @@ def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+", text) if sum(c.isalpha() for c in s) >= 4]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, steps: tuple[int, int] = STEPS) -> dict[str, np.ndarray]:
-    """Fit on (text, language name) rows; sentences whose label the first round rejects are left out of the second."""
+#: Scripts without blanks: their runs are cut every eight characters.
+_UNSPACED = re.compile("([⺀-鿿ぁ-ヿ฀-๿]{8})(?=[⺀-鿿ぁ-ヿ฀-๿])")
+_EDGE = re.compile("(?<=[⺀-鿿ぁ-ヿ฀-๿])(?=[A-Za-z])|(?<=[A-Za-z])(?=[⺀-鿿ぁ-ヿ฀-๿])")
+
+
+def squeeze(text: str) -> str:
+    """Words with one blank between them, as the network reads them; runs without blanks are cut."""
+    text = " ".join(text.split())
+    return text if text.isascii() else _EDGE.sub(" ", _UNSPACED.sub(r"\1 ", text))
+
+
+def train(rows: list[tuple[str, str]], seed: int = 7, steps: tuple[int, ...] = STEPS) -> dict[str, np.ndarray]:
+    """Fit on (text, language name) rows; sentences whose label a round rejects are left out of the next."""
     rng = np.random.default_rng(seed)
     net = Network(seed=seed)
     adam = Adam(net.params, 4e-3)
-    items = [(LANGUAGES.index(lang), s) for text, lang in rows for s in _sentences(clean(text))]
+    texts = [(LANGUAGES.index(lang), [s for s in map(squeeze, _sentences(clean(text))) if s]) for text, lang in rows]
+    items = [(k, s) for k, sentences in texts for s in sentences]
+    of = np.array([d for d, (_, sentences) in enumerate(texts) for _ in sentences], np.int64)
     if not items:
         return net.params
 
@@ -191,21 +225,40 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: tuple[int, int] = S
             by[k].append(_encode(s.strip() + " "))
         return by
 
+    near = np.isin(np.arange(len(LANGUAGES)), [LANGUAGES.index(x) for x in NEAR])
+
+    def trusted(apart: bool) -> list[tuple[int, str]]:
+        """Sentences with the label of their text, where neither text nor sentence contradicts it; those of a text that surely is in another language with that one.
+
+        Languages that share their words are not told apart before ``apart``, and never take sentences over from each other.
+        """
+        rows = np.zeros((len(items), len(LANGUAGES)), F32)
+        for i in range(0, len(items), 512):
+            # a sentence is judged by its first piece; only rows that fit the network pass here
+            ids, lengths = pad([_encode(s)[:PIECE] for _, s in items[i : i + 512]])
+            lp = net.log_probs(ids, lengths)
+            lp *= (_LETTER_BYTE[ids] & (ids > 0))[:, :, None]
+            rows[i : i + 512] = lp.sum(1)
+        whole = np.zeros((len(texts), len(LANGUAGES)), F32)
+        np.add.at(whole, of, rows)
+        kept = []
+        for (k, s), d, row in zip(items, of, rows, strict=True):
+            if near[k] and not apart:
+                row, total = row.copy(), whole[d].copy()
+                row[near], total[near] = row[near].max(), total[near].max()
+            else:
+                total = whole[d]
+            best = k if total[k] == total.max() else int(total.argmax())
+            lead = total[best] - total[k]
+            mine = k if lead < REJECT else best
+            sure = lead > 3 * REJECT and not (near[k] and near[best])
+            if (lead < REJECT or sure) and row.max() - row[mine] < REJECT:
+                kept.append((mine, s))
+        return kept
+
     run(grouped(items), steps[0], 6e-3)
-    kept = []
-    for i in range(0, len(items), 512):
-        part = items[i : i + 512]
-        ids, lengths = pad([_encode(s)[:PIECE] for _, s in part])
-        lp = net.log_probs(ids, lengths)
-        mask = _LETTER_BYTE[ids] & (ids > 0)
-        pooled = (lp * mask[:, :, None]).sum(1)
-        near = [LANGUAGES.index(x) for x in NEAR]
-        for x, row in zip(part, pooled, strict=True):
-            best = int(row.argmax())
-            # languages that share their words are not told apart yet, and a narrow lead says nothing
-            if best == x[0] or (best in near and x[0] in near) or row[best] - row[x[0]] < REJECT:
-                kept.append(x)
-    run(grouped(kept), steps[1], 4e-3)
+    for k, n in enumerate(steps[1:]):
+        run(grouped(trusted(k > 0)), n, 4e-3)
     return net.params
 
 
@@ -225,87 +278,68 @@ def sample_rows(df: DataFrame, text: str, label: Column, id_col: str, per_langua
     return out
 
 
-_WORD = re.compile(r"\S+")
-_UNSPACED = re.compile("[⺀-鿿ぁ-ヿ฀-๿]")
-
-
-def words_of(text: str) -> list[tuple[int, int]]:
-    """Spans of words; in scripts without blanks runs are cut at punctuation and every eight characters."""
-    out = []
-    for m in _WORD.finditer(text):
-        a, w = m.start(), m.group()
-        if _UNSPACED.search(w):
-            for p in re.finditer(r"[⺀-鿿ぁ-ヿ฀-๿]{1,8}|[^⺀-鿿ぁ-ヿ฀-๿]+", w):
-                out.append((a + p.start(), a + p.end()))
-        else:
-            out.append((a, a + len(w)))
-    return out
-
-
-def label_texts(texts: list[str | None], net: Network, change: float = CHANGE) -> list[list[tuple[int, int, int, int, float]]]:
-    """For each text its stretches (start, end, language number, letters, confidence) in characters of the cleaned text."""
-    cleaned = [clean(t) if t else "" for t in texts]
-    # pieces of bounded length, whole texts
-    pieces: list[tuple[int, int, np.ndarray]] = []
-    codes = []
-    for i, t in enumerate(cleaned):
-        x = _encode(t)
-        codes.append(x)
-        for s in range(0, max(1, len(x) - OVERLAP), PIECE - OVERLAP):
-            pieces.append((i, s, x[s : s + PIECE]))
-    scores = [np.zeros((len(x) + 1, len(LANGUAGES)), F32) for x in codes]
-    order = sorted(range(len(pieces)), key=lambda k: len(pieces[k][2]))
-    for k in range(0, len(order), 256):
-        group = [pieces[j] for j in order[k : k + 256]]
-        ids, lengths = pad([g[2] for g in group])
-        lp = net.log_probs(ids, lengths)
-        lp *= (_LETTER_BYTE[ids] & (ids > 0))[:, :, None]
-        for (i, s, x), row in zip(group, lp, strict=True):
-            skip = OVERLAP // 2 if s else 0
-            scores[i][s + skip : s + len(x)] = row[skip : len(x)]
-    out = []
-    batch = []
-    for i, t in enumerate(cleaned):
-        spans = words_of(t)
-        if not spans:
-            batch.append(None)
-            continue
-        at = np.zeros(len(t) + 1, np.int64)
-        if t.isascii():
-            at[:] = np.arange(len(t) + 1)
-        else:
-            at[1:] = np.cumsum([len(c.encode("utf-8")) for c in t])
-        total = np.vstack([np.zeros((1, len(LANGUAGES)), F32), np.cumsum(scores[i], 0)])
-        a = np.array([s for s, _ in spans])
-        b = np.array([e for _, e in spans])
-        # bytes of one character count once
-        nbytes = np.maximum(1, at[b] - at[a])
-        per = (total[at[b]] - total[at[a]]) * ((b - a) / nbytes)[:, None]
-        batch.append((spans, per))
-    paths = _viterbi([x[1] for x in batch if x is not None], change)
-    it = iter(paths)
-    for t, x in zip(cleaned, batch, strict=True):
-        if x is None:
-            out.append([])
-            continue
-        spans, per = x
-        path = next(it)
-        stretches: list[list] = []
-        for (s, e), k, row in zip(spans, path, per, strict=True):
-            letters = sum(c.isalpha() or is_mark(c) for c in t[s:e])
-            if stretches and stretches[-1][2] == k:
-                stretches[-1][1] = e
-                stretches[-1][3] += letters
-                stretches[-1][4] += row
-            else:
-                stretches.append([s, e, int(k), letters, row.copy()])
-        done = []
-        for s, e, k, letters, row in stretches:
-            if letters:
-                z = row / letters
-                conf = float(np.exp(z[k]) / np.exp(z).sum())
-                done.append((s, e, k, letters, conf))
-        out.append(done)
+_LEAD = np.zeros(256, bool)
+_LEAD[[b for b in range(256) if b >= 0xC0 or (b < 0x80 and chr(b).isalpha())]] = True
+
+
+def label_texts(texts: list[str | None], net: Network, change: float = CHANGE) -> list[list[tuple[str, int, int, float]]]:
+    """For each text its stretches (text, language number, letters, confidence) in order; none where it has no words.
+
+    All bytes of all texts are read, in pieces of bounded length that overlap.
+    """
+    cleaned = [squeeze(clean(t)) if t else "" for t in texts]
+    coded = [t.encode("utf-8") for t in cleaned]
+    blob = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    lengths = np.array([len(x) for x in coded], np.int64)
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    pieces: list[tuple[int, int, int]] = []  # begin, end, bytes that the piece before has read better
+    for a, n in zip(begin, lengths, strict=False):
+        for s in range(0, max(1, n - OVERLAP) if n else 0, PIECE - OVERLAP):
+            pieces.append((int(a) + s, int(a + min(n, s + PIECE)), OVERLAP // 2 if s else 0))
+    ids_of = blob.astype(np.int64) + 1
+    scores = np.zeros((len(blob), len(LANGUAGES)), F32)
+    pieces.sort(key=lambda p: p[1] - p[0])
+    for k in range(0, len(pieces), 256):
+        group = pieces[k : k + 256]
+        ids, sizes = pad([ids_of[a:b] for a, b, _ in group])
+        lp = net.log_probs(ids, sizes)
+        for (a, b, skip), row in zip(group, lp, strict=True):
+            scores[a + skip : b] = row[skip : b - a]
+    scores *= _LETTER_BYTE[ids_of][:, None]
+    # words of all texts at once
+    gap = (blob == 32) | (blob == 10)
+    first = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0]
+    if not len(first):
+        return [[] for _ in texts]
+    last = np.nonzero(gap & np.concatenate([[False], ~gap[:-1]]))[0]
+    per = np.add.reduceat(scores, first, axis=0)
+    letters = np.add.reduceat(_LEAD[blob].astype(np.int64), first)
+    # bytes of one character count once
+    chars = np.add.reduceat(((blob & 0xC0) != 0x80).astype(np.int64) * ~gap, first)
+    per *= (chars / (last - first))[:, None].astype(F32)
+    cuts = np.searchsorted(first, begin)
+    spans = [slice(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    order = sorted((i for i, x in enumerate(spans) if x.stop > x.start), key=lambda i: spans[i].stop - spans[i].start)
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    k = 0
+    while k < len(order):
+        # texts of like length together, so that a long one does not widen the table of many
+        end = k + 1
+        while end < len(order) and (end + 1 - k) * (spans[order[end]].stop - spans[order[end]].start) <= CELLS:
+            end += 1
+        for i, path in zip(order[k:end], _viterbi([per[spans[i]] for i in order[k:end]], change), strict=True):
+            x = spans[i]
+            starts = np.concatenate([[0], np.nonzero(np.diff(path))[0] + 1])
+            rows, counts = np.add.reduceat(per[x], starts, axis=0), np.add.reduceat(letters[x], starts)
+            ends = np.concatenate([starts[1:], [len(path)]])
+            for s, e, row, n in zip(starts, ends, rows, counts, strict=True):
+                if n:
+                    z, w = row / n, int(path[s])
+                    z = np.exp(z - z.max())
+                    # bytes, as the words were found there
+                    piece = blob[first[x.start + s] : last[x.start + e - 1]].tobytes().decode("utf-8", "replace")
+                    out[i].append((piece, w, int(n), float(z[w] / z.sum())))
+        k = end
     return out
 
 
@@ -348,11 +382,11 @@ def _viterbi(rows: list[np.ndarray], change: float) -> list[np.ndarray]:
     return out
 
 
-def summary(stretches: list[tuple[int, int, int, int, float]], part: float = PART, min_letters: int = MIN_LETTERS) -> list[tuple[str, float, float]]:
+def summary(stretches: list[tuple[str, int, int, float]], part: float = PART, min_letters: int = MIN_LETTERS) -> list[tuple[str, float, float]]:
     """(language, share of letters, confidence) of each language of a text that is a substantial part, largest first."""
     letters: dict[int, float] = {}
     conf: dict[int, float] = {}
-    for _, _, k, n, c in stretches:
+    for _, k, n, c in stretches:
         letters[k] = letters.get(k, 0) + n
         conf[k] = conf.get(k, 0) + n * c
     total = sum(letters.values())
@@ -367,7 +401,7 @@ def detector(spark: SparkSession, params: dict[str, np.ndarray]):
     """Arrow function text -> struct(parts: language, share, confidence; stretches). NULL and texts without words give empty arrays."""
     shared = spark.sparkContext.broadcast(params)
 
-    @F.pandas_udf("parts array<struct<language:string,share:double,confidence:double>>, stretches array<struct<start:int,end:int,language:string,letters:int,confidence:double>>")
+    @F.pandas_udf("parts array<struct<language:string,share:double,confidence:double>>, stretches array<struct<stretch_text:string,language:string,letters:int,confidence:double>>")
     def udf(texts: pd.Series) -> pd.DataFrame:
         net = Network().load(shared.value)
         rows = []
@@ -375,7 +409,7 @@ def detector(spark: SparkSession, params: dict[str, np.ndarray]):
         for i in range(0, len(values), 1024):
             for st in label_texts(values[i : i + 1024], net):
                 parts = [{"language": a, "share": b, "confidence": c} for a, b, c in summary(st)]
-                rows.append((parts, [{"start": s, "end": e, "language": LANGUAGES[k], "letters": n, "confidence": c} for s, e, k, n, c in st]))
+                rows.append((parts, [{"stretch_text": s, "language": LANGUAGES[k], "letters": n, "confidence": c} for s, k, n, c in st]))
         return pd.DataFrame(rows, columns=["parts", "stretches"])
 
     return udf.asNondeterministic()

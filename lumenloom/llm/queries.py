@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Callable
 
@@ -27,6 +28,18 @@ def _pieces(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
 
+_networks: dict[str, dict] = {}
+
+
+def _fitted(train: Callable, *samples: list) -> dict:
+    """A network fitted on bounded samples; queries of one application that draw the same samples fit it once."""
+    key = train.__module__ + hashlib.sha256(repr(samples).encode()).hexdigest()
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = train(*samples)
+    return _networks[key]
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -34,14 +47,13 @@ def _p1_labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Captions, one row per delivery, and the same with ``found`` (parts and stretches), every whole text read by the network."""
     caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "primary_language", "language_status")
     sure = caps.filter(~F.coalesce(F.lower(F.trim("language_status")), F.lit("")).isin("mixed", "undetermined", "no_text", "insufficient_text"))
-    params = language.train(language.sample_rows(sure, "original_text", language.known(F.col("primary_language")), "document_id"))
+    params = _fitted(language.train, language.sample_rows(sure, "original_text", language.known(F.col("primary_language")), "document_id"))
     return caps, _pieces(caps.filter(F.length("original_text") > 0)).withColumn("found", language.detector(spark, params)("original_text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, df = _p1_labelled(spark, sf_dir)
-    parts = F.slice("found.parts", 1, 2).alias("parts")
-    df = df.select("document_id", language.known(F.col("primary_language")).alias("label"), (F.coalesce(F.lower(F.trim("language_status")), F.lit("")) == "mixed").alias("marked"), parts)
+    df = df.select("document_id", language.known(F.col("primary_language")).alias("label"), (F.coalesce(F.lower(F.trim("language_status")), F.lit("")) == "mixed").alias("marked"), F.col("found.parts").alias("parts"))
     names = F.transform("parts", lambda x: x["language"])
     has = F.coalesce(F.array_contains(names, F.col("label")), F.lit(False))
     wrong = F.when(F.size("parts") >= 2, ~has | ~F.col("marked")).otherwise((F.size("parts") == 1) & ~has)
@@ -51,7 +63,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, df = _p1_labelled(spark, sf_dir)
     df = df.select("document_id", F.posexplode("found.stretches").alias("stretch_index", "s"))
-    return df.select("document_id", "stretch_index", "s.language", "s.letters", F.round("s.confidence", 4).alias("confidence")).distinct()
+    return df.select("document_id", "stretch_index", "s.stretch_text", "s.language", "s.letters", F.round("s.confidence", 4).alias("confidence")).distinct()
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------------------------------
@@ -84,7 +96,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p3_scored(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", *more)
     texts = caps.select("document_id", "original_text")
-    params = abuse.train(abuse.sample_rows(_read(spark, sf_dir, "reviewer_labels", "document_id", "offensive"), texts), abuse.sample_plain(texts))
+    params = _fitted(abuse.train, abuse.sample_rows(_read(spark, sf_dir, "reviewer_labels", "document_id", "offensive"), texts), abuse.sample_plain(texts))
     return _pieces(caps).withColumn("score", abuse.scorer(spark, params)("original_text"))
 
 
@@ -224,10 +236,12 @@ def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder of the session; one of our own only where none is set."""
+    """Cut the lineage by a checkpoint in the shared folder that the session names; only a local session may go without and gets one of its own."""
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
