@@ -5,8 +5,9 @@ their document counts. A token that holds anything suspicious (a styled or
 foreign look-alike, an ignorable, a base letter with a separate mark) is read
 by a weighted edit automaton over the trie: look-alikes and ignorables cost
 nothing, a change of letter case costs a little, other edits cost one each and
-the budget bounds them. The cheapest, then most frequent word gives the
-canonical spelling. Tokens without such a word are normalised by table. Only
+the budget bounds them. A character may look like several letters; the cheapest,
+then most frequent word that fits the text's script gives the canonical
+spelling. Tokens without such a word are normalised by table. Only
 the most frequent words are broadcast; where there are more, the looks of a
 text's tokens are joined with the table of all others, so the bound of the list
 never decides whether a field is normalised.
@@ -23,14 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import mojibake
 from lumenloom.llm.chars import IGNORABLE, LIKE, SPACES, is_emoji, is_mark, plain, script, skeleton
 
 #: The broadcast vocabulary holds at most this many words, the most frequent ones: some MB in every worker. The others are found by a join.
 VOCABULARY = 20_000
 MIN_DOCUMENTS = 3
-#: Edits beyond look-alikes that a canonical spelling may need; 0 keeps misspellings as they are.
-BUDGET = 0.0
+#: What a canonical spelling may cost: changes of case in any number that a word has, but no other edit, which would be another word.
+BUDGET = 0.9
 CASE_COST = 0.01
 
 
@@ -50,10 +50,9 @@ class Trie:
         node.words.append((word, count))
 
     def search(self, token: str, budget: float = BUDGET) -> list[tuple[float, int, str]]:
-        """All words within ``budget`` of ``token`` as (cost, -count, word), best first."""
+        """All words within ``budget`` of ``token`` as (cost, -count, word), best first, each once."""
         chars = unicodedata.normalize("NFC", token)
-        looks = [skeleton(c) for c in chars]
-        out: list[tuple[float, int, str]] = []
+        out: dict[str, tuple[float, int, str]] = {}
         best: dict[tuple[int, int], float] = {}
         stack = [(self, 0, 0.0)]
         while stack:
@@ -63,28 +62,44 @@ class Trie:
                 continue
             best[key] = cost
             if at == len(chars):
-                out += [(cost, -n, w) for w, n in node.words]
+                for w, n in node.words:
+                    if w not in out or cost < out[w][0]:
+                        out[w] = (cost, -n, w)
             else:
-                ch = chars[at]
-                if ch in IGNORABLE:
+                if chars[at] in IGNORABLE:
                     stack.append((node, at + 1, cost))
                     continue
-                # a look of several letters (a ligature) walks several edges
-                walk = [(node, 0)]
-                while walk:
-                    here, k = walk.pop()
-                    if k == len(looks[at]):
-                        stack.append((here, at + 1, cost))
-                        continue
-                    for c, child in here.next.items():
-                        if c == looks[at][k] or skeleton(c) == looks[at][k]:
-                            walk.append((child, k + 1))
+                for letters, more in readings(chars[at]):
+                    here: Trie | None = node
+                    for c in letters:
+                        here = here.next.get(c)
+                        if here is None:
+                            break
+                    if here is not None and cost + more <= budget:
+                        stack.append((here, at + 1, cost + more))
                 if cost + 1 <= budget:
                     stack.append((node, at + 1, cost + 1))
                     stack += [(child, at + 1, cost + 1) for child in node.next.values()]
             if cost + 1 <= budget:
                 stack += [(child, at, cost + 1) for child in node.next.values()]
-        return sorted(out)
+        return sorted(out.values())
+
+
+# Foreign letters that are drawn like either of two Latin ones, besides what LIKE has.
+ALSO = {"ӏ": "i", "Ӏ": "l", "І": "l", "Ι": "l", "і": "l", "ı": "l", "ɩ": "l", "η": "h", "ν": "u", "υ": "v", "п": "p", "γ": "v", "ω": "o", "р": "r"}
+
+
+@lru_cache(maxsize=65536)
+def readings(ch: str) -> tuple[tuple[str, float], ...]:
+    """Letters that a character may stand for, each with its cost: itself, its plain form and look-alikes at no cost, another case for little."""
+    shown = plain(ch)
+    forms = {ch: 0.0, shown: 0.0, "".join(LIKE.get(c, c) for c in shown): 0.0, "".join(_BACK.get(c, c) for c in shown): 0.0}
+    if ch in ALSO:
+        forms[ALSO[ch]] = 0.0
+    for f in list(forms):
+        low = f.lower()
+        forms[low] = min(forms.get(low, 9.0), CASE_COST * sum(a != b for a, b in zip(f, low, strict=False)))
+    return tuple(forms.items())
 
 
 class Joined:
@@ -99,6 +114,9 @@ class Joined:
         return sorted(x for t in self.tries for x in t.search(token, budget))
 
 
+_BACK = {v: k for k, v in LIKE.items() if script(k) == "CYRILLIC"}
+
+
 #: A run of letters, marks, digits, styled forms and what hides between them.
 _TOKEN = re.compile(r"(?:[^\W_]|[̀-゙゚ͯ­͏​-‍⁠-⁤﻿᠋-᠎‎‏‪-‮⁦-⁩஀-௿฀-๿\U0001d400-\U0001d7ff])+")
 _JOINED = re.compile("[ऀ-෿؀-ۿក-៿က-႟]")
@@ -130,41 +148,32 @@ def _compose(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def _token(token: str, main: str, trie: Trie, near: str = "") -> str:
+def _token(token: str, main: str, trie: Trie | Joined, near: str = "") -> str:
     """Canonical spelling of one token; ``main`` is the script most letters of the text are in, ``near`` the tokens beside this one."""
-    bare = "".join(c for c in token if c not in IGNORABLE)
-    bare = _compose("".join(map(plain, bare)))
-    scripts = Counter(script(c) for c in bare if not is_mark(c))
-    scripts.pop("", 0)
+    bare = _compose("".join(map(plain, (c for c in token if c not in IGNORABLE))))
+    scripts = {script(c) for c in bare if not is_mark(c)} - {""}
     mixed = [s for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "LISU") if s in scripts]
-    foreign = [c for c in bare if c in LIKE]
-    as_latin = "".join(LIKE.get(c, c) for c in bare)
-    result = bare
-    if foreign and len(mixed) > 1:
-        result = as_latin if "LATIN" in scripts and all(script(c) in ("LATIN", "") or is_mark(c) for c in as_latin) else _to(bare, mixed)
-    elif foreign and main == "LATIN" and mixed and all(c in LIKE or not c.isalpha() for c in bare):
-        if any(script(c) == mixed[0] and c not in LIKE for c in near):
-            return bare  # its neighbours are properly in that script
-        # one whole word in foreign letters amid Latin text: only where it spells a known word
-        if trie.search(as_latin.lower()) or len(bare) == 1:
-            result = as_latin
-    elif foreign and mixed == ["LATIN"]:
-        result = as_latin
-    elif mixed == ["LATIN"] and main == "CYRILLIC" and result and trie.search(_cyrillic(bare).lower()) and not trie.search(bare.lower()):
-        result = _cyrillic(bare)
-    if result == token:
+    foreign = any(c in LIKE for c in bare)
+    lonely = not foreign and mixed == ["LATIN"] and main == "CYRILLIC"
+    if bare == token and not foreign and not lonely:
         return token
-    # canonical spelling from the vocabulary, in the case that the token has
-    found = trie.search(token.lower() if not any(map(_odd, token)) else "".join(map(plain, token)).lower())
+    whole = foreign and "LATIN" not in mixed and len(mixed) == 1
+    if whole and (main != "LATIN" or any(c not in LIKE for c in bare if c.isalpha()) or any(script(c) == mixed[0] and c not in LIKE for c in near)):
+        return bare  # a word properly in its own script, by its letters or its neighbours
+    found = trie.search(token)
     if found:
-        word = found[0][2]
-        if _same_look(word, result):
-            return _cased(word, result)
-    return result
-
-
-def _same_look(word: str, shown: str) -> bool:
-    return "".join(map(skeleton, word)) == "".join(map(skeleton, shown)) and script(word[:1]) in ("LATIN", script(shown[:1]))
+        prefer = "LATIN" if main != "CYRILLIC" or any(c not in _BACK for c in bare if script(c) == "LATIN") else "CYRILLIC"
+        if lonely:
+            # a Latin word amid Cyrillic is one, if it is known
+            prefer = "LATIN" if any(script(w[0]) == "LATIN" for _, _, w in found) else "CYRILLIC"
+        return _cased(min(found, key=lambda x: (x[0] >= 1, script(x[2][0]) != prefer, x))[2], bare)
+    # by table
+    if lonely or (whole and len(bare) > 1):
+        return bare
+    as_latin = "".join(LIKE.get(c, c) for c in bare)
+    if len(mixed) > 1 and not ("LATIN" in mixed and all(script(c) in ("LATIN", "") or is_mark(c) for c in as_latin)):
+        return _to(bare, mixed)
+    return as_latin if foreign else bare
 
 
 def _cased(word: str, like: str) -> str:
@@ -173,9 +182,6 @@ def _cased(word: str, like: str) -> str:
     return "".join(w.upper() if x.isupper() else w for w, x in zip(word, like, strict=True))
 
 
-_BACK = {v: k for k, v in LIKE.items() if script(k) == "CYRILLIC"}
-
-
 def _cyrillic(text: str) -> str:
     return "".join(_BACK.get(c, c) for c in text)
 
@@ -246,19 +252,32 @@ class Words(list):
 
 
 def _look(word: str) -> str:
-    """What words and tokens that the automaton takes for each other share."""
-    return "".join(skeleton(c) for c in unicodedata.normalize("NFC", word) if c not in IGNORABLE)
+    """What words and tokens that the automaton takes for each other share: one letter stands for all that a character may be read as."""
+    return "".join(_ONE.get(c, c) for ch in unicodedata.normalize("NFC", word) if ch not in IGNORABLE for c in skeleton(ch))
+
+
+def _classes() -> dict[str, str]:
+    """One letter for each class of letters that some character can be read as."""
+    of: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while of.get(c, c) != c:
+            c = of[c]
+        return c
+
+    for ch, other in ALSO.items():
+        a, b = top(skeleton(ch)), top(other)
+        if a != b:
+            of[max(a, b)] = min(a, b)
+    return {c: top(c) for c in of}
+
+
+_ONE = _classes()
 
 
 def looks(text: str) -> list[str]:
-    """Looks of all the forms in which the tokens of a text may be looked up."""
-    out = set()
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if not token.isascii() and not _CJK.search(token):
-            bare = _compose("".join(map(plain, (c for c in token if c not in IGNORABLE))))
-            forms = (token, "".join(map(plain, token)), bare, "".join(LIKE.get(c, c) for c in bare), _cyrillic(bare))
-            out.update(_look(x.lower()) for x in forms)
+    """Looks of the tokens of a text that may be looked up."""
+    out = {_look(m.group().lower()) for m in _TOKEN.finditer(text) if not m.group().isascii() and not _CJK.search(m.group())}
     return sorted(out - {""})
 
 
@@ -330,15 +349,14 @@ def canonical_udf(spark: SparkSession, words: list[tuple[str, int]]):
     return udf
 
 
-_tries: dict[int, Trie] = {}
+_tries: list[tuple[list, Trie]] = []
 
 
 def _worker_trie(shared) -> Trie:
-    key = hash((len(shared.value), shared.value[0] if shared.value else None, shared.value[-1] if shared.value else None))
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = trie_of(shared.value)
-    return _tries[key]
+    """The trie of a broadcast list, built once in a worker."""
+    if not _tries or _tries[0][0] != shared.value:
+        _tries[:] = [(shared.value, trie_of(shared.value))]
+    return _tries[0][1]
 
 
 def not_ascii(c: Column) -> Column:
@@ -367,7 +385,3 @@ def normalize_all(df: DataFrame, texts: str, words: list[tuple[str, int]], out:
     df = with_own(df, t, words)
     df = df.withColumn("__a", udf.asNondeterministic()(F.when(odd, t), F.col("__own")))
     return df.withColumn(out, F.when(odd, F.col("__a")).otherwise(t)).drop("__a", "__own")
-
-
-def garbled(texts: pd.Series) -> list[bool]:
-    return [t is not None and mojibake.repair(t)[1] for t in texts]

@@ -300,6 +300,22 @@ _SAFE = "\U0001f000-\U0001faff☀-➿️‍“”‘’…–—•"
 _GATE = re.compile(f"[^\x00-\x7f{_SAFE}][^\x00-\x7f]|[^\x00-\x7f][^\x00-\x7f{_SAFE}]|[A-Za-z][一-鿿]|[一-鿿][A-Za-z0-9]|[�\x80-\x9f]")
 
 
+@lru_cache(maxsize=None)
+def _ends(codec: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters of one encoding that can begin a UTF-8 sequence, and those that can go on with one."""
+    table = _bytes(codec)
+    return frozenset(c for c, b in table.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in table.items() if 0x80 <= b <= 0xBF)
+
+
+def _can_hold(codec: str, high: set[str]) -> bool:
+    """Whether a text with these characters above ASCII can hold a UTF-8 run of an encoding at all."""
+    first, then = _ends(codec)
+    return not first.isdisjoint(high) and not then.isdisjoint(high)
+
+
+_PAIR = re.compile("[¡-￮]{2}")
+
+
 def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
     """(restored text, whether a garbled stretch was found, whether nothing garbled is left)."""
     if text.isascii() or not _GATE.search(text):
@@ -310,16 +326,20 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
         if best_cost < 0.25:
             break
         options = []
+        high = {c for c in now if c >= "\x80"}
         for codec in SINGLE:
+            if not _can_hold(codec, high):
+                continue
             got, ok = _try_utf8(now, codec)
             if ok:
                 # Thai letters cost little, so lone pairs of them inside Latin text count here
                 options.append((got, 1.0 if codec == "cp874" and _THAI & {*now} and not _THAI & {*got} else 0.0))
-        for codec in MULTI:
-            got, ok = _try_multi(now, codec)
-            if ok:
-                options.append((got, 0.0))
-        got, ok = _try_legacy(now)
+        if _PAIR.search(now) or _INSIDE.search(now):
+            for codec in MULTI:
+                got, ok = _try_multi(now, codec)
+                if ok:
+                    options.append((got, 0.0))
+        got, ok = _try_legacy(now) if HIGH_RUN.search(now) else (now, False)
         if ok:
             options.append((got, 0.0))
         for got, gain in options:

@@ -184,7 +184,8 @@ def _place(word: str) -> bool:
     return bool(_IS_PLACE.fullmatch(word.rstrip(".")))
 
 
-_CUE_WORDS = tuple(w.lower() for w in CUES.split("|"))
+_CUE_FIRST = frozenset(w.split()[0].lower() for w in CUES.split("|") if w.isascii() or w[0] < "\u2000")
+_CUE_INSIDE = tuple(w for w in CUES.split("|") if w[0] >= "\u2000")
 _TITLE_WORDS = frozenset(w.split()[-1] for w in TITLE.split("|"))
 _PATRONYM_WORDS = frozenset(PATRONYM.split("|")) - {"b\\.", "anak lelaki", "anak perempuan"} | {"b", "anak"}
 _STREET = re.compile(rf"\b(?:{STREET_FIRST})\b|(?:{STREET_LAST})\b|[路街道巷目]", re.I)
@@ -196,7 +197,7 @@ def _patterns(s: str) -> list[re.Pattern]:
     low = s.lower()
     words = _SPLIT.split(low)
     known = frozenset(words)
-    out = [_PATRONYMIC] * (not known.isdisjoint(_PATRONYM_WORDS)) + [_TITLED] * (not known.isdisjoint(_TITLE_WORDS)) + [_CUED] * any(c in low for c in _CUE_WORDS)
+    out = [_PATRONYMIC] * (not known.isdisjoint(_PATRONYM_WORDS)) + [_TITLED] * (not known.isdisjoint(_TITLE_WORDS)) + [_CUED] * (not known.isdisjoint(_CUE_FIRST) or (not s.isascii() and any(c in s for c in _CUE_INSIDE)))
     if out:
         alpha = [w for w in s.split() if w[:1].isalpha() and w.isascii()]
         if sum(w[0].isupper() for w in alpha) > 0.6 * len(alpha) > 4:
