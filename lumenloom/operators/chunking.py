@@ -7,36 +7,39 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import text as X
 
-_UNIT = "struct<done:array<struct<text:string,first:int,last:int>>,buffer:string,first:int,used:bigint>"
+_DONE = "array<struct<text:string,first:int,last:int>>"
+_UNIT = f"struct<done:{_DONE},buffer:string,first:int,last:int>"
+#: Bytes that one estimated token stands for, see ``token_estimate``.
+BYTES = 3.5
+
+
+def slices(sentence: Column, cap: int) -> Column:
+    """A sentence as it is, or in slices of at most ``cap`` estimated tokens, cut between characters.
+
+    A slice has as many characters as fit if all were as wide as the widest of the sentence.
+    """
+    width = F.when(sentence.rlike("[\\x{10000}-\\x{10FFFF}]"), 4).when(sentence.rlike("[\\x{0800}-\\x{FFFF}]"), 3).when(sentence.rlike("[\\x{0080}-\\x{07FF}]"), 2).otherwise(1)
+    size = F.greatest(F.lit(1), F.floor(F.lit(cap * BYTES) / width).cast("int"))
+    return F.when(X.token_estimate(sentence) <= cap, F.array(sentence)).otherwise(F.transform(F.sequence(F.lit(1), F.length(sentence), size), lambda k: F.substring(sentence, k, size)))
 
 
 def chunks(text: Column, cap: int) -> Column:
     """Units of whole sentences of at most ``cap`` estimated tokens, with the numbers of their first and last sentence.
 
-    A greedy fold in the JVM. A sentence above the cap is cut into slices of three characters per token, which keeps every
-    slice under the cap for text of one byte per character; '' and NULL give no unit.
+    A greedy fold in the JVM; blanks between sentences count. '' and NULL give no unit.
     """
-    size = max(1, cap * 3)
-    flat = F.flatten(
-        F.transform(X.sentences(text), lambda s, i: F.when(X.token_estimate(s) <= cap, F.array(F.struct(s.alias("s"), i.alias("i"))))
-                    .otherwise(F.transform(F.sequence(F.lit(1), F.length(s), F.lit(size)), lambda k: F.struct(F.substring(s, k, F.lit(size)).alias("s"), i.alias("i")))))
-    )
-    start = F.struct(F.array().cast("array<struct<text:string,first:int,last:int>>").alias("done"), F.lit("").alias("buffer"), F.lit(-1).alias("first"), F.lit(0).cast("bigint").alias("used")).cast(_UNIT)
+    flat = F.flatten(F.transform(X.sentences(text), lambda s, i: F.transform(slices(s, cap), lambda p: F.struct(p.alias("s"), i.cast("int").alias("i")))))
+    unit = lambda acc: F.array(F.struct(acc["buffer"].alias("text"), acc["first"].alias("first"), acc["last"].alias("last")))
+    start = F.struct(F.array().cast(_DONE).alias("done"), F.lit("").alias("buffer"), F.lit(-1).alias("first"), F.lit(-1).alias("last")).cast(_UNIT)
 
     def step(acc, x):
-        n = X.token_estimate(x["s"])
-        fits = (acc["used"] == 0) | (acc["used"] + n <= cap)
-        joined = F.when(acc["used"] == 0, x["s"]).otherwise(F.concat(acc["buffer"], F.lit(" "), x["s"]))
-        full = F.concat(acc["done"], F.array(F.struct(acc["buffer"].alias("text"), acc["first"].alias("first"), (x["i"] - 1).cast("int").alias("last"))))
-        return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("buffer"), F.when(acc["used"] == 0, x["i"]).otherwise(acc["first"]).cast("int").alias("first"), (acc["used"] + n).alias("used"))).otherwise(
-            F.struct(full.alias("done"), x["s"].alias("buffer"), x["i"].cast("int").alias("first"), n.alias("used"))
-        ).cast(_UNIT)
-
-    def finish(acc):
-        n = F.size(X.sentences(text))
-        return F.when(acc["used"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["buffer"].alias("text"), acc["first"].alias("first"), (n - 1).cast("int").alias("last")))))
-
-    return F.aggregate(flat, start, step, finish)
+        longer = F.when(acc["buffer"] == "", x["s"]).otherwise(F.concat(acc["buffer"], F.lit(" "), x["s"]))
+        fits = (acc["buffer"] == "") | (X.token_estimate(longer) <= cap)
+        kept = F.struct(acc["done"].alias("done"), longer.alias("buffer"), F.when(acc["buffer"] == "", x["i"]).otherwise(acc["first"]).alias("first"), x["i"].alias("last"))
+        closed = F.struct(F.concat(acc["done"], unit(acc)).alias("done"), x["s"].alias("buffer"), x["i"].alias("first"), x["i"].alias("last"))
+        return F.when(fits, kept).otherwise(closed).cast(_UNIT)
+
+    return F.aggregate(flat, start, step, lambda acc: F.when(acc["buffer"] == "", acc["done"]).otherwise(F.concat(acc["done"], unit(acc))))
 
 
 def units(df: DataFrame, id_col: str, text: str, cap: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -75,14 +77,23 @@ def threshold_grid(df: DataFrame, score: Column, gold: Column, low: list[float],
     return x.groupBy("t.low", "t.high").agg(F.count_if(inc & F.col("g")).alias("tp"), F.count_if(inc & ~F.col("g")).alias("fp"), F.count_if(exc & F.col("g")).alias("fn"), F.count_if(exc & ~F.col("g")).alias("tn"), F.count_if(~inc & ~exc).alias("review"))
 
 
-def bootstrap(df: DataFrame, value: Column, id_col: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+def _poisson_cuts(bits: int = 40) -> list[float]:
+    """Cumulative chances of 0, 1, 2, ... of a Poisson number with mean 1, as far as a hash of so many bits can tell."""
+    cuts, term, total = [], math.exp(-1), 0.0
+    while 1 - total > 2.0**-bits:
+        total += term
+        cuts.append(total)
+        term /= len(cuts)
+    return cuts
+
+
+def bootstrap(df: DataFrame, value: Column, id_col: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Mean with its percentile interval from Poisson weights drawn by hash (V6).
 
     Rows are expanded over replicates inside their task and summed there, so the shuffle has one row per task and replicate.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("replicate")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    weight = F.size(F.filter(F.array(*[F.lit(c) for c in _poisson_cuts()]), lambda c: c < u))
     x = df.select(value.cast("double").alias("v"), id_col, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     m = x.withColumn("w", weight).groupBy("replicate").agg(ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     return m.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -51,17 +51,17 @@ def blind(df: DataFrame, allowed: list[str], hidden: tuple[str, ...] = ("model",
 
 
 def coverage_sample(df: DataFrame, id_col: str, group: str, values: list[str], n: int, per_group: int = 2) -> list:
-    """Greedy cover: each pick adds the most values not seen yet, at most ``per_group`` rows of a group.
+    """Greedy cover: each pick adds the most values not seen yet, the largest id first among equals, at most ``per_group`` rows of a group.
 
-    ``values`` are columns of few distinct values. For each value the first n rows by id are candidates: no cover of n rows
-    needs more of one value, and the list stays as long as values x n.
+    Exact: rows with the same combination of values differ for the greedy only by id and group. Of one combination and
+    group no more than ``per_group`` rows can be taken, and no more than n rows can be skipped because their group is full,
+    so the first 2n rows of each combination hold all picks. ``values`` are columns with few combinations of values.
     """
-    w = lambda v: W.partitionBy(v).orderBy(id_col)
-    picks = None
-    for v in values:
-        part = df.withColumn("__r", F.row_number().over(w(v))).filter(F.col("__r") <= n).drop("__r")
-        picks = part if picks is None else picks.unionByName(part)
-    rows = [r.asDict() for r in picks.dropDuplicates([id_col]).orderBy(id_col).collect()]
+    last = F.desc(F.col(id_col).cast("string"))
+    key = [F.coalesce(F.col(v).cast("string"), F.lit("\u0000")) for v in values]
+    r = df.withColumn("__r", F.row_number().over(W.partitionBy(*key, F.col(group)).orderBy(last))).filter(F.col("__r") <= per_group)
+    r = r.withColumn("__r", F.row_number().over(W.partitionBy(*key).orderBy(last))).filter(F.col("__r") <= 2 * n).drop("__r")
+    rows = [x.asDict() for x in r.select(id_col, group, *values).collect()]
     seen: set[tuple[str, object]] = set()
     used: dict[object, int] = {}
     out = []

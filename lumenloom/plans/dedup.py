@@ -40,9 +40,8 @@ SELECT mention_id, aspect, CAST(greatest(0, ceil((r - 1) * 4.0 / greatest(n - 1,
 def confidence_bins(spark, d):
     """Rank bins with the edges of interpolated quantiles, in quarters and thirds."""
     m = T.mentions(spark, d, "aspect", "confidence").filter("confidence IS NOT NULL")
-    w = W.partitionBy("aspect")
-    m = m.withColumn("r", F.row_number().over(w.orderBy("confidence", "mention_id"))).withColumn("n", F.count("*").over(w))
-    return m.select("mention_id", "aspect", windows.quantile_bin(F.col("r"), F.col("n"), 4).alias("quarter"), windows.quantile_bin(F.col("r"), F.col("n"), 3).alias("third"))
+    m = windows.ranks(m, ["aspect"], ["confidence", "mention_id"])
+    return m.select("mention_id", "aspect", windows.quantile_bin(F.col("rank"), F.col("size"), 4).alias("quarter"), windows.quantile_bin(F.col("rank"), F.col("size"), 3).alias("third"))
 
 
 @query("mention_ordinals", f"{_D} SELECT mention_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY mention_index, mention_id) - 1 AS ordinal, count(*) OVER (PARTITION BY document_id) AS in_document FROM ments")

@@ -33,6 +33,14 @@ def evidence_grounding(spark, d):
     return g.select("mention_id", "grounding.status", "grounding.method", F.col("grounding.start").alias("span_start"), F.col("grounding.end").alias("span_end"), "grounding.reason")
 
 
+@query("evidence_status", f"{_J} SELECT mention_id, CASE WHEN coalesce(evidence_text, '') = '' THEN 'no_evidence' WHEN strpos(coalesce(t, ''), evidence_text) > 0 THEN 'exact' ELSE 'other' END AS status, CASE WHEN evidence_text <> '' AND strpos(t, evidence_text) > 0 THEN 'none' END AS method, CASE WHEN evidence_text <> '' AND strpos(coalesce(t, ''), evidence_text) = 0 THEN contains(evidence_text, '...') OR contains(evidence_text, '…') OR contains(evidence_text, ' / ') END AS has_gap FROM j")
+def evidence_status(spark, d):
+    """Which evidence is literal, missing or left to recovery: the part of the grounding that SQL can say."""
+    g = grounding.ground_mentions(_joined(spark, d), "original_text", "evidence_text", "evidence_start", "evidence_end")
+    status = F.when(F.col("grounding.status").isin("exact", "no_evidence"), F.col("grounding.status")).otherwise("other")
+    return g.select("mention_id", status.alias("status"), F.when(status == "exact", F.col("grounding.method")).alias("method"), F.when(status == "other", F.col("evidence_text").rlike("\\.\\.\\.|…| / ")).alias("has_gap"))
+
+
 @query("grounding_rates", f"{_J} SELECT coalesce(nullif(mention_language, ''), 'unknown') AS language, count(*) AS mentions, count(*) FILTER (coalesce(evidence_text, '') <> '') AS with_evidence, coalesce(count(*) FILTER (evidence_text <> '' AND strpos(t, evidence_text) > 0)::DOUBLE / nullif(count(*) FILTER (coalesce(evidence_text, '') <> ''), 0), 0) AS exact_rate, coalesce(count(*) FILTER (evidence_text <> '' AND strpos(lower(t), lower(evidence_text)) > 0)::DOUBLE / nullif(count(*) FILTER (coalesce(evidence_text, '') <> ''), 0), 0) AS any_case_rate FROM j GROUP BY 1")
 def grounding_rates(spark, d):
     """Rates of exact and of case-blind evidence per language."""

@@ -27,6 +27,22 @@ def document_units(spark, d):
     return chunking.units(T.read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", 500).drop("text")
 
 
+_SOLID = "regexp_replace({}, '[\\s\\x{{00a0}}]', '', 'g')"
+
+
+@query("unit_caps", f"{_B} SELECT 'review' AS kind, document_id AS id, TRUE AS within_cap, sha256({_SOLID.format('original_text')}) AS content FROM blogs WHERE trim(original_text) <> '' UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), TRUE, sha256({_SOLID.format('text')}) FROM documents WHERE trim(text) <> ''")
+def unit_caps(spark, d):
+    """Units of reviews and documents checked: none above its cap, and together they are the whole text but for blanks."""
+    out = None
+    for kind, df, key, text, cap in (("review", _reviews(spark, d, "original_text"), "document_id", "original_text", 120), ("document", T.read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", 500)):
+        u = chunking.units(df, key, text, cap)
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")
+        one = u.groupBy(key).agg(F.bool_and(F.col("tokens") <= cap).alias("within_cap"), F.sha2(F.regexp_replace(whole, "[\\s\\x{00a0}]", ""), 256).alias("content"))
+        one = one.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), "within_cap", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("source_audit", f"{_B} SELECT coalesce(nullif(event_year, ''), 'Unknown') AS event_year, count(*) AS reviews, count(*) FILTER (coalesce(original_text, '') = '') AS without_text, count(*) FILTER (coalesce(author, '') = '') AS without_author, count(*) FILTER (coalesce(title, '') = '') AS without_title, min(length(original_text)) AS shortest, max(length(original_text)) AS longest FROM blogs GROUP BY 1")
 def source_audit(spark, d):
     """What a source lacks."""

@@ -84,3 +84,20 @@ def logit_years(spark, d):
 def stable_aspects(spark, d):
     """Aspects that may be tested: enough documents in all and in every year, fixed before any test."""
     return cells(spark, d).groupBy("aspect").agg(F.min("k").alias("least_documents"), F.sum("k").alias("documents")).filter("least_documents >= 5 AND documents >= 50")
+
+
+@query("pairwise_after_omnibus")
+def pairwise_after_omnibus(spark, d):
+    """Contrasts of years only for aspects whose test over all years is significant after correction."""
+    good = _tests(spark, d).filter("p_bh < 0.05").select("aspect")
+    return pairwise_years(spark, d).join(F.broadcast(good), "aspect", "left_semi")
+
+
+@query("emphasis")
+def emphasis(spark, d):
+    """Aspects worth emphasis: tested by a rule fixed before, significant, with at least a small effect and enough support."""
+    may = stable_aspects(spark, d).select("aspect", F.lit(True).alias("eligible"))
+    sup = cells(spark, d).groupBy("aspect").agg(F.sum("k").alias("documents"))
+    t = _tests(spark, d).select("aspect", "p_bh", "cramers_v").join(sup, "aspect").join(F.broadcast(may), "aspect", "left")
+    ok = F.coalesce("eligible", F.lit(False)) & F.coalesce(F.col("p_bh") < 0.05, F.lit(False)) & (F.col("cramers_v") >= 0.1) & (F.col("documents") >= 100)
+    return t.select("aspect", F.coalesce("eligible", F.lit(False)).alias("eligible"), "p_bh", "cramers_v", "documents", ok.alias("emphasis"))

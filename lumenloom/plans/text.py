@@ -84,18 +84,22 @@ def quality_reasons(spark, d):
 @query("word_frequencies", f"""SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>|&[a-z]+;', ' ', 'g'), '{_URL}', ' ', 'g'), '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+', ' ', 'g')), '[a-zà-öø-ÿ0-9_'']+'), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^\\d+$') AND NOT list_contains({_STOP_SQL}, x))) AS term FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def word_frequencies(spark, d):
     """Terms with their occurrences and documents, two documents at least."""
-    t = T.read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.filter(X.word_tokens(F.col("text"), _STOP), lambda w: ~w.rlike("[㐀-鿿]"))).alias("term"))
-    # two levels: occurrences inside a document first, so the distinct count needs no second copy of the rows
-    per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents")).filter("documents >= 2")
+    words = F.filter(X.word_tokens(F.col("text"), _STOP), lambda w: ~w.rlike("[㐀-鿿]"))
+    return _frequencies(T.read(spark, d, "documents", "text").select(words.alias("w")), "term").filter("documents >= 2")
+
+
+def _frequencies(df, name):
+    """Occurrences and documents of the tokens in ``w``, one row a document: sorted inside the row, so that the first of equal ones counts the document and one shuffle with partial sums does."""
+    s = F.array_sort("w")
+    marked = df.select(s.alias("s")).select(F.explode(F.transform("s", lambda x, i: F.struct(x.alias("t"), F.when((i == 0) | (F.try_element_at(F.col("s"), F.greatest(i, F.lit(1))) != x), 1).otherwise(0).alias("first")))).alias("x"))
+    return marked.groupBy(F.col("x.t").alias(name)).agg(F.count("*").alias("occurrences"), F.sum("x.first").alias("documents"))
 
 
 @query("han_tokens", "WITH r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]+')) AS run FROM documents), t AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(run) + 1), lambda i: substr(run, i, 1)), list_transform(range(1, length(run)), lambda i: substr(run, i, 2)))) AS token FROM r) SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM t GROUP BY 1")
 def han_tokens(spark, d):
     """Han characters and bigrams."""
-    t = T.read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.filter(X.multilingual_tokens(F.col("text")), lambda w: w.rlike("^[㐀-䶿一-鿿]"))).alias("token"))
-    per = t.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    tokens = F.filter(X.multilingual_tokens(F.col("text")), lambda w: w.rlike("^[㐀-䶿一-鿿]"))
+    return _frequencies(T.read(spark, d, "documents", "text").select(tokens.alias("w")), "token")
 
 
 @query("expressions", f"""{_D}, e AS (SELECT *, lower(regexp_replace({_COLLAPSE.format("coalesce(evidence_text, '')")}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS expression FROM ments)

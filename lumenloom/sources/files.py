@@ -74,10 +74,74 @@ def append_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def chunk_numbers(df: DataFrame, order: list[Column], size: int, parts: int = 64) -> DataFrame:
-    """``file_number`` of each row in a total order, ``size`` rows a file (S10): ranges first, then ranks inside them."""
+def chunk_numbers(df: DataFrame, order: list[Column], size: int, parts: int = 64, first: int = 0) -> DataFrame:
+    """``file_number`` of each row in a total order, ``size`` rows a file (S10), rows counted from ``first``: ranges first, then ranks inside them."""
     ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(W.partitionBy().orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).select("__p", F.coalesce("base", F.lit(0)).alias("base"))
     w = W.partitionBy("__p").orderBy(*order)
-    return ranged.withColumn("__r", F.row_number().over(w)).join(F.broadcast(before), "__p").withColumn("file_number", F.floor((F.col("base") + F.col("__r") - 1) / size).cast("bigint")).drop("__p", "__r", "base")
+    return ranged.withColumn("__r", F.row_number().over(w)).join(F.broadcast(before), "__p").withColumn("file_number", F.floor((F.col("base") + F.col("__r") - 1 + first) / size).cast("bigint")).drop("__p", "__r", "base")
+
+
+def collect_ids(spark: SparkSession, path: str, patterns: list[str], names: tuple[str, ...] = ("document_id", "record_id")) -> DataFrame:
+    """Distinct ids from all CSV files below a path that match one of the patterns; the first of the names that a file's header has is its id.
+
+    The header is the first line of each file; rows of all files are read in one scan.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(patterns) + "}").text(path, wholetext=True)
+    rows = lines.select(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n").alias("l")).select(F.split(F.element_at("l", 1), ",").alias("h"), F.explode(F.slice("l", 2, F.size("l"))).alias("row"))
+    bare = lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
+    at = F.coalesce(*[F.nullif(F.array_position(F.transform("h", bare), n), F.lit(0)) for n in names])
+    return rows.filter(F.trim("row") != "").select(bare(F.try_element_at(F.split("row", ","), at.cast("int"))).alias("id")).filter("id IS NOT NULL AND id <> ''").distinct()
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of tables whose keys are unique on both sides; anything else is refused when rows are read."""
+    check = lambda df, side: df.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in df.columns if c not in keys]).withColumn("__ok", F.when(F.col("__n") > 1, F.raise_error(F.lit(f"keys of the {side} side are not unique"))).otherwise(F.lit(True))).filter("__ok").drop("__n", "__ok")
+    return check(left, "left").join(check(right, "right"), keys)
+
+
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table itself, refused where columns are missing (F1)."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are missing")
+    return df
+
+
+def replace_atomically(df: DataFrame, path: str, token: str | None = None) -> str:
+    """Write a table as a new version and switch the pointer to it; the version before stays as a backup.
+
+    ``token`` is the version that the caller has read: where another one has been written since, nothing is replaced.
+    Works on any file system that Spark can write; readers use ``current``.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    if token != version(spark, path):
+        raise ValueError("the table was replaced since it was read")
+    new = uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{path}/{new}")
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # the pointer is a directory whose name is the version: made in one step, the old one is removed afterwards
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer/{new}"))
+    if token is not None:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer/{token}"), True)
+    return new
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """The version that a replaced table has now; None before the first."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    names = sorted(((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(p)))
+    return names[-1][1] if names else None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as it was last replaced."""
+    return spark.read.parquet(f"{path}/{version(spark, path)}")

@@ -60,16 +60,31 @@ def test_chi_square_with_an_empty_cell(spark):
 
 
 CASES = [
-    ("The route was great", "route was great", None, None, "exact", "none"),
-    ("A  good run", "A good run", None, None, "recovered", "unique_whitespace_match"),
-    ("Café run", "Café run", None, None, "recovered", "unique_unicode_match"),
-    ("Great  route", "Great route", 0, 12, "recovered", "given_offsets"),
-    ("The Route", "the route", None, None, "recovered", "unique_case_match"),
-    ("A  run and A   run", "A run", None, None, "unrecoverable", "none"),
-    ("KLSCM 2025", "Volunteers were amazing", None, None, "unrecoverable", "none"),
+    ("tea was cold at noon", "cold at noon", None, None, "exact", "none"),
+    ("we had  two\ncups left", "two cups left", None, None, "recovered", "unique_whitespace_match"),
+    ("Jalapen\u0303o soup", "Jalape\u00f1o soup", None, None, "recovered", "unique_unicode_match"),
+    ("two  cups, two cups", "two cups", 0, 9, "exact", "none"),
+    ("hot   tea and hot\ttea", "hot tea", 0, 9, "recovered", "given_offsets"),
+    ("Only ONE cup", "one cup", None, None, "recovered", "unique_case_match"),
+    ('a "slow" queue', "a slow queue", None, None, "recovered", "unique_punctuation_match"),
+    ("no queue — at all", "no queue - at all", None, None, "recovered", "unique_punctuation_match"),
+    ('A "Slow"  queue', "a slow queue", None, None, "unrecoverable", "none"),  # one way of looking away at a time
+    ("hot   tea and hot\ttea", "hot tea", None, None, "unrecoverable", "none"),
+    ("rain at five", "sunshine all day", None, None, "unrecoverable", "none"),
     (None, "x", None, None, "unrecoverable", "none"),
     ("x", None, None, None, "no_evidence", "none"),
+    ("x", "", None, None, "no_evidence", "none"),
 ]
+REASONS = [
+    ("two  cups", "two cups", "whitespace_difference"), ("Two Cups", "two cups", "case_difference"), ("rain at five", "rain ... five", "truncated_evidence"), ("rain at five", "rain \U0001f327", "emoji_alias_difference"),
+    ("rain at five today", "rain today was heavy", "translated_or_paraphrased_evidence"), ("rain at five", "sunshine all day long", "hallucinated_evidence"), ("rain", "??", "other"),
+]
+
+
+def test_reasons(spark):
+    df = spark.createDataFrame([(i, s, e, None, None) for i, (s, e, _) in enumerate(REASONS)], "i int, s string, e string, a int, b int")
+    got = {r["i"]: r["grounding"]["reason"] for r in grounding.ground_mentions(df, "s", "e", "a", "b").collect()}
+    assert [got[i] for i in range(len(REASONS))] == [x[2] for x in REASONS]
 
 
 def test_grounding(spark):
@@ -77,7 +92,8 @@ def test_grounding(spark):
     got = {r["i"]: r["grounding"] for r in grounding.ground_mentions(df, "s", "e", "a", "b").collect()}
     for i, c in enumerate(CASES):
         assert (got[i]["status"], got[i]["method"]) == c[4:], c
-    assert (got[1]["start"], got[1]["end"]) == (0, 11)
+    for i, span in ((1, "two\ncups left"), (2, "Jalapen\u0303o soup"), (6, 'a "slow" queue'), (4, "hot   tea")):
+        assert CASES[i][0][got[i]["start"] : got[i]["end"]] == span
 
 
 def test_grounding_of_long_evidence():
