@@ -3,7 +3,8 @@
 Records get a canonical key of their letters and digits. Keys of hot groups
 are found exactly by partial counts and their rows are aggregated in two
 levels over salts; all other keys take one shuffle. The representative of a
-group is its smallest identifier.
+group is its smallest identifier. What is hot is a fixed number of rows, so no
+task ever holds a larger group, however many rows there are.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window as W
 
 #: Groups above this many rows are hot.
 HOT_ROWS = 100_000
-#: No more than this many keys can be hot, so that their list may be broadcast.
-MAX_HOT_KEYS = 1_000
+#: Up to this many hot keys are broadcast (a few hundred KB); more are joined by a shuffle.
+MAX_HOT_KEYS = 10_000
 SALTS = 64
 
 
@@ -81,18 +82,35 @@ def group_copies(df: DataFrame, id_col: str, key: Column, hot_rows: int = HOT_RO
     keyed = df.select(F.col(id_col).alias("member_id"), key.alias("__k")).filter(F.col("member_id").isNotNull() & F.col("__k").isNotNull())
     # 128 bits stand for the key in every shuffle
     keyed = keyed.select("member_id", F.xxhash64("__k").alias("k1"), F.xxhash64(F.reverse("__k"), F.length("__k")).alias("k2"))
-    keyed = keyed.groupBy("member_id", "k1", "k2").agg(F.lit(1).alias("__one")).drop("__one")
-    threshold = max(hot_rows, -(-df.count() // max_hot_keys))
-    hot = keyed.groupBy("k1", "k2").agg(F.count("*").alias("__n")).filter(F.col("__n") >= threshold).select("k1", "k2")
-    # at most max_hot_keys rows, as each has a share of all rows above 1 / max_hot_keys
-    hot_rows_ = keyed.join(F.broadcast(hot), ["k1", "k2"], "left_semi")
-    rest = keyed.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-    salted = hot_rows_.groupBy("k1", "k2", F.pmod(F.xxhash64("member_id"), F.lit(salts)).alias("salt")).agg(F.min("member_id").alias("m"), F.count("*").alias("n"))
-    heads = salted.groupBy("k1", "k2").agg(F.min("m").alias("keep_id"), F.sum("n").alias("copies"))
-    from_hot = hot_rows_.join(F.broadcast(heads), ["k1", "k2"]).select("member_id", "keep_id", "copies")
-    w = W.partitionBy("k1", "k2")
+    key_ = ["k1", "k2"]
+    # exact counts, summed before the shuffle; deliveries of one id count here, so this may only call too many keys hot
+    counted = keyed.groupBy(*key_).agg(F.count("*").alias("__n")).filter(F.col("__n") >= hot_rows).select(*key_)
+    listed = counted.take(max_hot_keys + 1)  # bounded
+    salt = F.pmod(F.xxhash64("member_id"), F.lit(salts))
+    if len(listed) <= max_hot_keys:
+        hot = df.sparkSession.createDataFrame([(r["k1"], r["k2"]) for r in listed], "k1 bigint, k2 bigint")
+        of_hot, rest = keyed.join(F.broadcast(hot), key_, "left_semi"), keyed.join(F.broadcast(hot), key_, "left_anti")
+    else:
+        # the list over all salts, so that the rows of one key are spread in the join as well
+        spread = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+        marked = keyed.withColumn("salt", salt)
+        of_hot, rest = marked.join(spread, [*key_, "salt"], "left_semi").drop("salt"), marked.join(spread, [*key_, "salt"], "left_anti").drop("salt")
+    # one shuffle by key serves the removal of deliveries and both measures
+    w = W.partitionBy(*key_)
+    rest = rest.repartition(*key_).groupBy(*key_, "member_id").agg(F.lit(1).alias("__one"))
     from_rest = rest.select("member_id", F.min("member_id").over(w).alias("keep_id"), F.count("*").over(w).alias("copies"))
-    return from_rest.unionByName(from_hot)
+    if not listed:
+        return from_rest
+    # rows of hot keys: once per id inside their salt, then heads over the salts
+    of_hot = of_hot.withColumn("salt", salt).groupBy(*key_, "salt", "member_id").agg(F.lit(1).alias("__one")).drop("__one")
+    salted = of_hot.groupBy(*key_, "salt").agg(F.min("member_id").alias("m"), F.count("*").alias("n"))
+    heads = salted.groupBy(*key_).agg(F.min("m").alias("keep_id"), F.sum("n").alias("copies"))
+    if len(listed) <= max_hot_keys:
+        from_hot = of_hot.join(F.broadcast(heads), key_)
+    else:
+        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+        from_hot = of_hot.join(heads, [*key_, "salt"])
+    return from_rest.unionByName(from_hot.select("member_id", "keep_id", "copies"))
 
 
 def copy_pairs(df: DataFrame, id_col: str, key: Column, **how) -> DataFrame:

@@ -73,7 +73,6 @@ _FOREIGN = re.compile("[" + "".join(map(re.escape, sorted(LIKE))) + "]")
 #: Two or more words with capitals inside a sentence: a name, whatever language it is in.
 _PROPER = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][\w'’]+(?: [A-ZÀ-Þ][\w'’]+)+")
 _CAPITAL = re.compile(r"(?<![^\W_])[A-ZÀ-Þ]")
-_STREETS = frozenset(f"{pii.STREET_FIRST}|{pii.STREET_LAST}".split("|"))
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -97,7 +96,7 @@ def clean(text: str) -> str:
             text = unicodedata.normalize("NFC", text)
             if _FOREIGN.search(text) and not has_own_script(text):
                 text = text.translate(_FOLD)
-    if not _STREETS.isdisjoint(_WORDS.findall(text.lower())) and _DIGIT.search(text):
+    if not pii._STREETS.isdisjoint(_WORDS.findall(text.lower())) and _DIGIT.search(text):
         # street addresses are names, whatever language they are in
         for rx in (pii._ADDRESS, pii._UNIT_STREET):
             text = rx.sub(_blank, text)

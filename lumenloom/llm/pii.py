@@ -45,7 +45,7 @@ PLACE = "menara|dataran|tasik|kampung|kg|stadium|bukit|jambatan|taman|kota|banda
 TITLE = r"dr|encik|en|puan|pn|cik|tuan|mr|mrs|ms|miss|prof|sir|datuk|dato|datin|tan sri|haji|hajah|ustaz|cikgu|herr|frau|señor|señora|sr|sra|don|doña|monsieur|madame|mme"
 PATRONYM = r"bin|binti|bte|bt|b\.|a/l|a/p|s/o|d/o|al|anak lelaki|anak perempuan"
 # Phrases that a person's name follows.
-CUES = r"thanks to|belongs to|birthday|credit goes to|step beside|my pacer|my coach|my neighbour|jurulatih saya|pelatih saya|pacer saya|kasih kepada|kasih buat|terima kasih banyak buat|banyak buat|milik|atas nama|mi entrenador|mi entrenadora|gracias a|merci à|mon coach|danke an|mein trainer|meu treinador|obrigado a|谢谢|感谢|我的教练|コーチの|contact person|ask for|call me|my name is|nama saya|me llamo|je m'appelle|ich heiße|я "
+CUES = r"thanks to|belongs to|birthday|my pacer|my coach|my trainer|jurulatih saya|pelatih saya|pacer saya|kasih kepada|kasih buat|terima kasih banyak buat|banyak buat|milik|atas nama|mi entrenador|mi entrenadora|gracias a|merci à|mon coach|danke an|mein trainer|meu treinador|obrigado a|谢谢|感谢|我的教练|コーチの|contact person|ask for|call me|my name is|nama saya|me llamo|je m'appelle|ich heiße|chiamo|меня зовут|мой тренер|спасибо|я "
 
 
 _HIGH = re.compile("[^\x00-\x7f]")
@@ -167,14 +167,23 @@ _ADDRESS_AFTER = re.compile(rf"\b(?:(?:calle|avenida|rua|via)\s{_WORD}(?:\s{_WOR
 _ADDRESS_HAN = re.compile("[一-鿿]{2,8}(?:路|街|道|巷)(?:[一二三四五六七八九十\\d]+巷)?\\d{1,4}(?:号|號|弄)|[一-鿿]{1,6}\\d{1,3}丁目\\d{1,3}")
 _UNIT_STREET = re.compile(rf"\b(?:unit|lot|no|blok)\b\.?\s*[a-z]?-?\d{{1,5}}(?:-\d{{1,4}}){{0,3}},\s*(?:[\w' ]{{3,30}},\s*)?(?:{STREET_FIRST})\b\.?\s+{_WORD}", re.I)
 _POST = re.compile(rf"[\s,]*(?:\d{{5}}\s+{_WORD}(?:\s[A-ZÀ-Þ][\w'’]*)?|{_WORD}(?:\s{_WORD}){{0,2}}\s\d{{5}})")
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-Z][a-z]+)?"
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’]+(?:-[A-Z][a-z]+)?"
 _SEQ = rf"{_CAP}(?:\s{_CAP}){{0,2}}"
 _PATRONYMIC = re.compile(rf"(?P<a>{_SEQ})\s(?:{PATRONYM})\s(?P<b>{_CAP}(?:\s{_CAP})?)")
 _TITLED = re.compile(rf"(?<!\w)(?:{TITLE})\.?\s(?P<a>{_CAP}(?:\s[A-Z]\.)?(?:\s(?:{PATRONYM}))?(?:\s{_CAP}){{1,3}})")
-_CUED = re.compile(rf"(?:{CUES})\s?(?:(?:{TITLE})\.?\s)?(?P<a>{_CAP},\s{_CAP}(?:\s{_CAP})?|{_CAP}(?:\s{_CAP})?(?:\s[A-Z]\.)?(?:\s(?:{PATRONYM}))?\s{_CAP})")
+# a phrase begins a word, where its script has blanks
+_CUE = "(?:(?<!\\w)(?i:" + "|".join(c for c in CUES.split("|") if c[0] < "\u2000") + ")|(?:" + "|".join(c for c in CUES.split("|") if c[0] >= "\u2000") + "))"
+_CUED = re.compile(rf"{_CUE}\s?(?:(?i:{TITLE})\.?\s)?(?P<a>{_CAP},\s{_CAP}(?:\s{_CAP})?|{_CAP}(?:\s{_CAP})?(?:\s[A-Z]\.)?(?:\s(?:{PATRONYM}))?\s{_CAP})")
 # set phrases and titles count in any letter case, the name itself not
 _TITLED = re.compile(_TITLED.pattern.replace(f"(?:{TITLE})", f"(?i:{TITLE})", 1))
-_CUED = re.compile(_CUED.pattern.replace(f"(?:{CUES})", f"(?i:{CUES})", 1).replace(f"(?:{TITLE})", f"(?i:{TITLE})", 1))
+# words between names that only names have: they count in any letter case
+_PATRONYMIC_ANY = re.compile(r"(?<![\w/])(?P<a>[^\W\d_]{3,})\s(?:binti|bte|a/l|a/p|s/o|d/o)\s(?P<b>[^\W\d_]{3,})(?!\w)", re.I)
+# where every word has a capital, a name is as short as it can be
+_PATRONYMIC_SHORT = re.compile(rf"(?<!\w)(?P<a>{_CAP})\s(?i:bin|binti|bte|a/l|a/p|s/o|d/o)\s(?P<b>{_CAP})")
+_CUED_SHORT = re.compile(rf"{_CUE}\s?(?:(?i:{TITLE})\.?\s)?(?P<a>{_CAP}\s(?:(?i:{PATRONYM})\s)?{_CAP})")
+# Frequent family names in Han characters, what stands before a name and what may follow it.
+SURNAMES = "王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何高林罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾萧蕭田董袁潘蔡余叶葉程苏蘇魏吕呂丁任沈姚卢盧姜崔钟鐘谭譚陆陸范金石廖贾夏韦付方白邹孟熊秦邱江尹薛段雷侯龙龍史陶黎贺顾毛郝龚邵钱严武戴莫孔汤"
+_HAN_NAME = re.compile(rf"(?:(?:我叫|名叫|名字是|姓名[:：]?|联系人[:：]?|聯絡人[:：]?)(?P<a>[{SURNAMES}][一-鿿]{{1,2}})(?![一-鿿])|(?:感谢|谢谢|感謝|謝謝)?(?P<b>[{SURNAMES}][一-鿿]{{1,2}})(?=教练|教練|老师|老師|先生|女士|小姐|同学|同學))")
 _IS_PLACE = re.compile(rf"(?:{PLACE})", re.I)
 _WORDS = re.compile(r"[^\W\d_][\w'’-]*|[a-z]/[a-z]", re.I)
 
@@ -188,21 +197,30 @@ _CUE_FIRST = frozenset(w.split()[0].lower() for w in CUES.split("|") if w.isasci
 _CUE_INSIDE = tuple(w for w in CUES.split("|") if w[0] >= "\u2000")
 _TITLE_WORDS = frozenset(w.split()[-1] for w in TITLE.split("|"))
 _PATRONYM_WORDS = frozenset(PATRONYM.split("|")) - {"b\\.", "anak lelaki", "anak perempuan"} | {"b", "anak"}
-_STREET = re.compile(rf"\b(?:{STREET_FIRST})\b|(?:{STREET_LAST})\b|[路街道巷目]", re.I)
+_STREETS = frozenset(f"{STREET_FIRST}|{STREET_LAST}".split("|"))
+_HAN_STREET = re.compile("[路街道巷目]")
 _SPLIT = re.compile(r"[^\w/]+")
 
 
-def _patterns(s: str) -> list[re.Pattern]:
+_UPPER, _LOWER = re.compile(r"(?<!\S)[A-ZÀ-ÖØ-ÞА-ЯЁ]"), re.compile(r"(?<!\S)[a-zß-öø-ÿа-яё]")
+
+
+def _street(words: frozenset[str], s: str) -> bool:
+    """Whether a text holds a word that an address needs."""
+    return not words.isdisjoint(_STREETS) or any(w.endswith(("straße", "strasse", "weg", "gasse")) for w in words) or (not s.isascii() and bool(_HAN_STREET.search(s)))
+
+
+def _shouted(s: str) -> bool:
+    """Whether most words of a text have a capital, so that capitals say nothing."""
+    capitals = len(_UPPER.findall(s))
+    return capitals > 0.6 * (capitals + len(_LOWER.findall(s))) > 4
+
+
+def _patterns(s: str, known: frozenset[str] | None = None) -> list[re.Pattern]:
     """The name patterns that can match in a text; none where every word has a capital, as these say nothing then."""
-    low = s.lower()
-    words = _SPLIT.split(low)
-    known = frozenset(words)
+    known = frozenset(_SPLIT.split(s.lower())) if known is None else known
     out = [_PATRONYMIC] * (not known.isdisjoint(_PATRONYM_WORDS)) + [_TITLED] * (not known.isdisjoint(_TITLE_WORDS)) + [_CUED] * (not known.isdisjoint(_CUE_FIRST) or (not s.isascii() and any(c in s for c in _CUE_INSIDE)))
-    if out:
-        alpha = [w for w in s.split() if w[:1].isalpha() and w.isascii()]
-        if sum(w[0].isupper() for w in alpha) > 0.6 * len(alpha) > 4:
-            return []
-    return out
+    return [] if out and _shouted(s) else out
 
 
 def seed_parts(text: str) -> list[str]:
@@ -223,11 +241,23 @@ _PAT = re.compile(rf"(?:{PATRONYM})", re.I)
 
 def _names(s: str, parts: frozenset[str]) -> list[tuple[int, int]]:
     spans = []
-    for rx in _patterns(s):
+    known = frozenset(_SPLIT.split(s.lower()))
+    patterns = _patterns(s, known)
+    for rx in patterns:
         for m in rx.finditer(s):
             if any(map(_place, _WORDS.findall(m.group("a")))):
                 continue
             spans.append((m.start("a"), m.end()))
+    if not known.isdisjoint(_PATRONYM_WORDS):
+        spans += [(m.start("a"), m.end()) for m in _PATRONYMIC_ANY.finditer(s) if not (_place(m.group("a")) or _place(m.group("b")))]
+    if not patterns and not known.isdisjoint(_PATRONYM_WORDS | _CUE_FIRST) and _shouted(s):
+        if not known.isdisjoint(_PATRONYM_WORDS):
+            spans += [m.span() for m in _PATRONYMIC_SHORT.finditer(s) if not (_place(m.group("a")) or _place(m.group("b")))]
+        if not known.isdisjoint(_CUE_FIRST):
+            # one known part makes sure that the two words are a name
+            spans += [m.span("a") for m in _CUED_SHORT.finditer(s) if not parts.isdisjoint(w.lower() for w in _WORDS.findall(m.group("a")))]
+    if not s.isascii():
+        spans += [m.span("a") if m.group("a") else m.span("b") for m in _HAN_NAME.finditer(s)]
     if parts and not parts.isdisjoint(_WORDS.findall(s.lower())):
         run: list[tuple[int, int]] = []
         linked = True
@@ -255,10 +285,35 @@ def _names(s: str, parts: frozenset[str]) -> list[tuple[int, int]]:
 
 
 _DIGIT = re.compile(r"\d")
+#: Characters that the first transducer may turn into letters, digits or signs of plain text, or leave out.
+_ODD = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿĀ-ſƠ-ưḀ-ỿ‘-”–—…一-鿿、。「-』ぁ-ゖァ-ヺー가-힣！，？஀-௿฀-๿\U0001f000-\U0001faff☀-➿️‍]|\u200d(?![☀-➿\U0001f000-\U0001faff])")
+_HAN_SIGNS = re.compile("[零〇一二三四五六七八九]{2}|[路街道巷目]|教练|教練|老师|老師|先生|女士|小姐|同学|同學|叫|名|人")
+_SIGN_WORDS = _PATRONYM_WORDS | _TITLE_WORDS | _CUE_FIRST | frozenset(DIGIT_WORDS) | frozenset(("at", "arroba", "dot", "punto", "titik"))
+
+
+def _nothing(text: str, parts: frozenset[str]) -> bool:
+    """Whether a look at the text as it is shows that no detector can find anything: then it needs no transducer."""
+    if "@" in text and _AT_SIGN.search(text):
+        return False
+    if not text.isascii() and (_ODD.search(text) or _HAN_SIGNS.search(text) or any(c in text for c in _CUE_INSIDE)):
+        return False
+    low = text.lower()
+    words = frozenset(_SPLIT.split(low))
+    if not words.isdisjoint(_SIGN_WORDS) or not parts.isdisjoint(_WORDS.findall(low)):
+        return False
+    hidden = _MASK.sub(" ", text)
+    digits = len(_DIGIT.findall(hidden))
+    return digits < 7 and not (digits and _street(words, text))
+
+
+#: An at-sign that does not begin a handle.
+_AT_SIGN = re.compile(r"[\w)\]}>]\s*@|@\s|[(\[{<]\s*@")
 
 
 def find(text: str, parts: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Personal information as (start, end, type) in source characters, in order, not overlapping."""
+    if _nothing(text, parts):
+        return []
     s, at = normalise(text)
     # addresses of pages, tags and handles are never personal information here
     hidden = _MASK.sub(lambda m: "\x00" * len(m.group()), s)
@@ -272,7 +327,7 @@ def find(text: str, parts: frozenset[str] = frozenset()) -> list[tuple[int, int,
         for m in _EMAIL.finditer(s):
             add(m.start(), m.end(), "email")
     digits = len(_DIGIT.findall(hidden))
-    if digits and _STREET.search(hidden):
+    if digits and _street(frozenset(_SPLIT.split(hidden.lower())), hidden):
         for m in _ADDRESS.finditer(hidden):
             end = m.end()
             if more := _POST.match(hidden, end):
@@ -344,7 +399,8 @@ def learn_parts(frames: list[DataFrame], max_parts: int = MAX_PARTS, min_rows: i
         return texts.map(seed_parts)
 
     # every pattern has a capital after its title, patronymic or phrase
-    gate = rf"\p{{Lu}}\p{{L}}+\s(?:{PATRONYM})\s\p{{Lu}}|\b(?i:{TITLE})\.?\s\p{{Lu}}|(?i:{CUES})\s?\p{{Lu}}"
+    plain_cues, other_cues = [c for c in CUES.split("|") if c[0] < "\u2000"], [c for c in CUES.split("|") if c[0] >= "\u2000"]
+    gate = rf"(?<!\p{{L}})(?:\p{{Lu}}\p{{L}}+\s(?:{PATRONYM})\s\p{{Lu}}|(?iu:{TITLE})\.?\s\p{{Lu}}|(?iu:{'|'.join(plain_cues)})\s?\p{{Lu}})|(?:{'|'.join(other_cues)})\s?\p{{Lu}}"
     both = None
     for df in frames:
         t = F.col(df.columns[0])

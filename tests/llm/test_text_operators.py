@@ -22,8 +22,8 @@ def test_copies_equal_brute_force_with_hot_groups(spark):
     rows = [(f"id{i:03d}", rng.choice(texts), rng.choice(["a", "A.", None, "b"]), "extra") for i in range(200)]
     rows += rows[:10]  # delivered again
     df = spark.createDataFrame(rows, "document_id string, original_text string, linguistic_text string, keep_id string")
-    for hot in (5, 10_000):  # nearly all groups hot, none hot
-        got = {tuple(r) for r in copies.copy_pairs(df, "document_id", copies.caption_key(), hot_rows=hot, max_hot_keys=1000, salts=3).collect()}
+    for hot, most in ((5, 1000), (5, 2), (10_000, 1000)):  # nearly all groups hot, more of them than may be broadcast, none hot
+        got = {tuple(r) for r in copies.copy_pairs(df, "document_id", copies.caption_key(), hot_rows=hot, max_hot_keys=most, salts=3).collect()}
         groups = {}
         for i, o, li, _ in rows:
             if canon(o):
@@ -164,6 +164,25 @@ def test_pii(text, kinds):
     assert [k for _, _, k in pii.find(text)] == kinds
 
 
+@pytest.mark.parametrize(
+    "text,parts,name",
+    [
+        ("Thank You Everyone For Coming And Thanks To Ahmad Faizal For Pacing Me Today", {"faizal"}, "Ahmad Faizal"), ("Thank You Everyone For Coming And Thanks To Every Volunteer On The Road", {"faizal"}, None),
+        ("This Year Siti Binti Rahman Ran With All Of Us", set(), "Siti Binti Rahman"), ("with siti binti rahman at the start", set(), "siti binti rahman"), ("ich bin sehr froh", set(), None),
+        ("меня зовут Иван Петров", set(), "Иван Петров"), ("我叫王小明。", set(), "王小明"), ("感谢张伟教练的帮助", set(), "张伟"), ("感谢周围的人，马上出发", set(), None),
+    ],
+)
+def test_names_in_other_cases_and_scripts(text, parts, name):
+    got = [text[a:b] for a, b, k in pii.find(text, frozenset(parts)) if k == "name"]
+    assert got == ([] if name is None else [name])
+
+
+def test_a_quick_look_lets_everything_through():
+    texts = ["ｃａｌｌ ０１２３４５６７８９", "a (at) b (dot) com x.y", "zero one two three four five six seven", "mail x @ y.example.com", "No. 5 Jalan Kenanga", "零一二三四五六七八九", "n.a＠ex.org"]
+    assert all(not pii._nothing(t, frozenset()) for t in texts)
+    assert pii._nothing("a fine day on the road #klscm2024 @run.abc https://a.b/1234567", frozenset())
+
+
 def test_redaction_keeps_the_rest():
     text = "Hi 👋 write tri-8@example.org​ or call +65 9555 2671!"
     assert pii.redact(text) == "Hi 👋 write [EMAIL]​ or call [PHONE]!"
