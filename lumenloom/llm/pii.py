@@ -307,7 +307,7 @@ def _nothing(text: str, parts: frozenset[str]) -> bool:
 
 
 #: An at-sign that does not begin a handle.
-_AT_SIGN = re.compile(r"[\w)\]}>]\s*@|@\s|[(\[{<]\s*@")
+_AT_SIGN = re.compile(r"[\w.+-]@|@\s|[(\[{<]\s*@")
 
 
 def find(text: str, parts: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
