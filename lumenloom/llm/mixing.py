@@ -19,8 +19,10 @@ BINS, LEVELS = 2_048, 3
 SEED = "mix-1"
 
 
-def allocate(targets: list[dict], sizes: dict[str, int]) -> list[dict]:
-    """Size owed by each source: the mix is as large as the scarcest source with documents allows, at most as large as its sources are together.
+def allocate(targets: list[dict], sizes: dict[str, int], size: int | None = None) -> list[dict]:
+    """Size owed by each source. Without ``size`` the mix is as large as the scarcest source with documents allows, at most as large as its sources are together.
+
+    With ``size`` every source owes its share of that; one that cannot give it gives all its copies, and the report shows the share really reached.
 
     A source without documents owes nothing; its share cannot be reached and is reported as missing.
     """
@@ -31,6 +33,7 @@ def allocate(targets: list[dict], sizes: dict[str, int]) -> list[dict]:
         total = sum(sizes[t["source"]] for t in there)
         for t in there:
             total = min(total, t["max_repeats"] * sizes[t["source"]] / t["target_share"])
+        total = total if size is None else size
         for t in sorted(rows, key=lambda t: t["source"]):
             have = sizes.get(t["source"], 0)
             want = total * t["target_share"] if have else 0.0
@@ -46,18 +49,18 @@ def _uniform(*cols):
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_col: str, source: str, tokens: str, bins: int = BINS, levels: int = LEVELS) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, id_col: str, source: str, tokens: str, size: int | None = None, bins: int = BINS, levels: int = LEVELS) -> DataFrame:
     """(mix_name, source, doc_id, tokens, copies) for every document a mix takes at least once.
 
     ``docs`` has unique ids; documents without a source or without tokens belong to no mix. ``targets`` is a small table
-    (mix_name, source, target_share, max_repeats) and is read by the driver.
+    (mix_name, source, target_share, max_repeats) and is read by the driver. ``size`` is the size of each mix, see ``allocate``.
     """
     spark = docs.sparkSession
     wanted = [r.asDict() for r in targets.collect()]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(tokens).cast("bigint").alias("tokens")).filter(F.col("source").isNotNull() & (F.col("tokens") > 0))
     names = sorted({t["source"] for t in wanted})
     stats = {r["source"]: r for r in d.filter(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens").alias("t"), F.sum(F.sqrt("tokens")).alias("w"), F.sum(F.col("tokens") * F.sqrt("tokens")).alias("tw")).collect()}
-    plan = allocate(wanted, {k: r["t"] for k, r in stats.items()})
+    plan = allocate(wanted, {k: r["t"] for k, r in stats.items()}, size)
     # inclusion probability by the root of a document's size: c * sqrt(tokens), with c such that the expected size is the rest
     rows = [(p["mix_name"], p["source"], p["copies"], p["rest"], float(p["rest"]) / stats[p["source"]]["tw"] if p["rest"] else 0.0) for p in plan if p["have"]]
     shares = spark.createDataFrame(rows, "mix_name string, source string, whole int, rest bigint, c double")

@@ -25,7 +25,8 @@ CLASSES = 160
 ROUNDS = 240
 #: A public vocabulary, the same on every executor; texts are read whole.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SALTS = 64
+#: Rows of one length that one task ranks; a length with more is ranked in parts.
+RANKED = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -71,35 +72,32 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int, limit: np.nd
     cap = capacity // grid
     keep = np.argsort(-values / s, kind="stable")
     best = np.zeros(cap + 1)
-    item = np.full(cap + 1, -1)
-    # lengths of better density first; an item enters a column only through its own earlier cells, copies one after another
+    copies: list[tuple[int, np.ndarray]] = []
+    # lengths of better density first; copies of a length enter one after another, never more than there are
     for i in keep:
         si, vi = int(s[i]), float(values[i])
         if vi <= 0 or si > cap:
             continue
-        for start in range(0, min(int(limit[i]), cap // si)):
+        taken = np.zeros(cap + 1, np.int32)
+        for _ in range(min(int(limit[i]), cap // si)):
             cand = best[: cap + 1 - si] + vi
             better = cand > best[si:] + 1e-15
             if not better.any():
                 break
-            new = best.copy()
+            new, more = best.copy(), taken.copy()
             new[si:][better] = cand[better]
-            item[si:][better] = i
-            if start + 1 < cap // si:
-                best = new
-            else:
-                best = new
-                break
+            more[si:][better] = taken[: cap + 1 - si][better] + 1
+            best, taken = new, more
+        if taken.any():
+            copies.append((int(i), taken))
     out = np.zeros(len(sizes), np.int64)
     c = int(best.argmax())
     room = capacity
-    while c > 0 and item[c] >= 0:
-        i = int(item[c])
-        if sizes[i] > room or out[i] >= limit[i]:
-            break
-        out[i] += 1
-        room -= int(sizes[i])
-        c -= int(s[i])
+    for i, taken in reversed(copies):
+        n = int(taken[c])
+        out[i] = n
+        room -= n * int(sizes[i])
+        c -= n * int(s[i])
     # what rounding left over takes the densest length that still fits
     for i in keep:
         if values[i] > 0 and sizes[i] <= room:
@@ -247,19 +245,22 @@ def pieces(items: DataFrame, id_col: str, tokens: str, capacity: int) -> DataFra
     return df.select("item_id", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("t") - F.col("piece").cast("bigint") * capacity).alias("size"))
 
 
-def fill(items: DataFrame, id_col: str, tokens: str, capacity: int, salts: int = SALTS) -> DataFrame:
+def fill(items: DataFrame, id_col: str, tokens: str, capacity: int, ranked: int = RANKED) -> DataFrame:
     """(container_id, item_id, piece, size) for every piece; no container holds more than ``capacity``.
 
-    ``items`` has unique ids and integer sizes. A whole item is never split unless it is larger than a container.
+    ``items`` has unique ids and integer sizes. A whole item is never split unless it is larger than a container. No task
+    ranks more than about ``ranked`` rows: full pieces of long items, all of one length, are ranked in as many parts as they need.
     """
     spark = items.sparkSession
     parts = pieces(items, id_col, tokens, capacity)
-    salt = F.pmod(F.xxhash64("item_id", "piece"), F.lit(salts)).cast("int")
-    counted = parts.groupBy("size", salt.alias("salt")).agg(F.count("*").alias("n"))
-    # ranks: each salt of a length owns a range, so no task ranks a whole length
+    histogram = [(int(r["size"]), int(r["n"])) for r in parts.groupBy("size").agg(F.count("*").alias("n")).collect()]  # at most capacity rows
+    many = {s: 1 + n // ranked for s, n in histogram if n >= ranked}
+    salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("size").cast("int")), F.lit(1)) if many else F.lit(1)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("item_id", "piece"), salts.cast("bigint")))
+    counted = parts.groupBy("size", "salt").agg(F.count("*").alias("n"))
+    # ranks: each salt of a length owns a range
     before = W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)
-    off = counted.select("size", F.col("salt").cast("bigint").alias("salt"), (F.sum("n").over(before) - F.col("n")).alias("offset"))
-    histogram = [(int(r["size"]), int(r["n"])) for r in counted.groupBy("size").agg(F.sum("n").alias("n")).collect()]  # at most capacity rows
+    off = counted.select("size", "salt", (F.sum("n").over(before) - F.col("n")).alias("offset"))
     shapes = plan(histogram, capacity)
     ranges, used, base = [], {}, 0
     for shape, times in shapes:
@@ -270,9 +271,9 @@ def fill(items: DataFrame, id_col: str, tokens: str, capacity: int, salts: int =
         base += times
     table = spark.createDataFrame(pd.DataFrame(ranges or [], columns=["size", "lo", "hi", "base", "per"]).astype("int64"), "size bigint, lo bigint, hi bigint, base bigint, per bigint")
     w = W.partitionBy("size", "salt").orderBy("item_id", "piece")
-    ranked = parts.withColumn("salt", salt.cast("bigint")).withColumn("rn", F.row_number().over(w) - 1)
-    # both tables are as long as lengths x salts and configurations x lengths: bounded by the capacity, not by the rows
-    placed = ranked.join(F.broadcast(off), ["size", "salt"]).withColumn("rank", F.col("rn") + F.col("offset"))
+    with_rank = parts.withColumn("rn", F.row_number().over(w) - 1)
+    # the first table is as long as lengths and millions of rows, the second as configurations times lengths: bounded by the capacity
+    placed = with_rank.join(F.broadcast(off), ["size", "salt"]).withColumn("rank", F.col("rn") + F.col("offset"))
     r = table.withColumnRenamed("size", "r_size")
     placed = placed.join(F.broadcast(r), (F.col("size") == F.col("r_size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     container = F.col("base") + F.expr("(rank - lo) div per")

@@ -309,9 +309,21 @@ def test_plan_is_best_on_small_cases():
     assert packing.plan([], 10) == [] and packing.plan([(10, 2)], 10) == [({10: 1}, 2)]
 
 
+def test_knapsack_is_exact_within_limits():
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = np.array(sorted(rng.sample(range(1, 12), 4)))
+        values = np.array([rng.random() for _ in sizes])
+        limit = np.array([rng.randrange(1, 4) for _ in sizes])
+        cap = rng.randrange(8, 25)
+        got = packing._knapsack(sizes, values, cap, limit)
+        best = max(sum(v * k for v, k in zip(values, n, strict=True)) for n in itertools.product(*[range(m + 1) for m in limit]) if sum(s * k for s, k in zip(sizes, n, strict=True)) <= cap)
+        assert (got <= limit).all() and (got * sizes).sum() <= cap and (got * values).sum() == pytest.approx(best)
+
+
 def test_fill_splits_only_what_is_too_long(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([3, 25, 10, 7, 0, None, 7, 3, 3])], "id long, n long")
-    rows = packing.fill(df, "id", "n", 10, salts=3).collect()
+    rows = packing.fill(df, "id", "n", 10, ranked=2).collect()
     room = {}
     for r in rows:
         room[r["container_id"]] = room.get(r["container_id"], 0) + r["size"]
@@ -324,6 +336,14 @@ def test_fill_splits_only_what_is_too_long(spark):
 # --- 8 mixing
 
 
+def test_allocation_of_a_given_size():
+    targets = [{"mix_name": "m", "source": x, "target_share": 0.5, "max_repeats": 2} for x in "ab"]
+    a, b = mixing.allocate(targets, {"a": 1000, "b": 50}, 1000)
+    assert (a["copies"], a["rest"]) == (0, 500) and (b["copies"], b["rest"]) == (2, 0)
+    a, b = mixing.allocate(targets, {"a": 1000, "b": 50})
+    assert a["rest"] == 100 and b["copies"] == 2
+
+
 def test_mix_reaches_the_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "big" if i % 4 else "small", int(rng.integers(1, 400))) for i in range(4000)] + [(9001, None, 5), (9002, "big", 0)]
