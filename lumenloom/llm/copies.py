@@ -19,8 +19,8 @@ from pyspark.sql.window import Window as W
 
 #: Groups above this many rows are hot.
 HOT_ROWS = 100_000
-#: Up to this many hot keys are broadcast (a few hundred KB); more are joined by a shuffle.
-MAX_HOT_KEYS = 10_000
+#: Where this many keys at most can be hot, as the number of rows shows, their list is broadcast (16 bytes each); else it is joined by a shuffle.
+MAX_HOT_KEYS = 500_000
 SALTS = 64
 
 
@@ -83,32 +83,28 @@ def group_copies(df: DataFrame, id_col: str, key: Column, hot_rows: int = HOT_RO
     # 128 bits stand for the key in every shuffle
     keyed = keyed.select("member_id", F.xxhash64("__k").alias("k1"), F.xxhash64(F.reverse("__k"), F.length("__k")).alias("k2"))
     key_ = ["k1", "k2"]
-    # exact counts, summed before the shuffle; deliveries of one id count here, so this may only call too many keys hot
-    counted = keyed.groupBy(*key_).agg(F.count("*").alias("__n")).filter(F.col("__n") >= hot_rows).select(*key_)
-    listed = counted.take(max_hot_keys + 1)  # bounded
+    keyed = keyed.groupBy("member_id", *key_).agg(F.lit(1).alias("__one")).drop("__one")  # each delivery once; used twice, shuffled once
     salt = F.pmod(F.xxhash64("member_id"), F.lit(salts))
-    if len(listed) <= max_hot_keys:
-        hot = df.sparkSession.createDataFrame([(r["k1"], r["k2"]) for r in listed], "k1 bigint, k2 bigint")
+    # exact counts, summed before the shuffle
+    hot = keyed.groupBy(*key_).agg(F.count("*").alias("__n")).filter(F.col("__n") >= hot_rows).select(*key_)
+    few = df.count() // hot_rows <= max_hot_keys  # no more keys than that can have so many rows
+    if few:
         of_hot, rest = keyed.join(F.broadcast(hot), key_, "left_semi"), keyed.join(F.broadcast(hot), key_, "left_anti")
     else:
         # the list over all salts, so that the rows of one key are spread in the join as well
-        spread = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+        spread = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         marked = keyed.withColumn("salt", salt)
         of_hot, rest = marked.join(spread, [*key_, "salt"], "left_semi").drop("salt"), marked.join(spread, [*key_, "salt"], "left_anti").drop("salt")
-    # one shuffle by key serves the removal of deliveries and both measures
     w = W.partitionBy(*key_)
-    rest = rest.repartition(*key_).groupBy(*key_, "member_id").agg(F.lit(1).alias("__one"))
     from_rest = rest.select("member_id", F.min("member_id").over(w).alias("keep_id"), F.count("*").over(w).alias("copies"))
-    if not listed:
-        return from_rest
-    # rows of hot keys: once per id inside their salt, then heads over the salts
-    of_hot = of_hot.withColumn("salt", salt).groupBy(*key_, "salt", "member_id").agg(F.lit(1).alias("__one")).drop("__one")
+    # rows of hot keys inside their salt, then heads over the salts
+    of_hot = of_hot.withColumn("salt", salt)
     salted = of_hot.groupBy(*key_, "salt").agg(F.min("member_id").alias("m"), F.count("*").alias("n"))
     heads = salted.groupBy(*key_).agg(F.min("m").alias("keep_id"), F.sum("n").alias("copies"))
-    if len(listed) <= max_hot_keys:
+    if few:
         from_hot = of_hot.join(F.broadcast(heads), key_)
     else:
-        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         from_hot = of_hot.join(heads, [*key_, "salt"])
     return from_rest.unionByName(from_hot.select("member_id", "keep_id", "copies"))
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenloom.functions.text import SHORT_FORMS
 from lumenloom.llm import mojibake, pii
 from lumenloom.llm.chars import IGNORABLE, LIKE, has_own_script, plain
 from lumenloom.llm.gru import F32, Adam, BiGRU, pad, softmax
@@ -63,7 +64,7 @@ def known(label: Column) -> Column:
     return F.element_at(F.create_map(*pairs), F.lower(F.trim(F.regexp_replace(label, "[\\s_-]+", " "))))
 
 
-_DROP = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#＃@＠][\w.]*\w|(?<![A-Za-z])[Bb][Ii][Bb]\s+[A-Za-z\d]+|(?<![A-Za-z\d])(?=[A-Za-z]*\d)[A-Za-z\d]+(?![A-Za-z\d])|\b[A-Z]{2,}[-_][\w-]+|\[[A-Z_]+\]")
+_DROP = re.compile(r"(?i:https?://|www\.)\S+|\S+@\S+|[#＃@＠][\w.]*\w|(?<![A-Za-z])[Bb][Ii][Bb]\s+[A-Za-z\d]+|(?<![A-Za-z\d])(?=[A-Za-z]*\d)[A-Za-z\d]+(?![A-Za-z\d])|\b[A-Z]{2,}[-_][\w-]+|\[[A-Z_]+\]")
 #: Emoji, invisible characters and signs beyond ASCII: blanks, or nothing inside a word.
 _SIGNS = re.compile("[¡-©«-´¶-¹»-¿‐-‧‰-⁞₠-⯿　-〄〈-〰！-／：-＠［-｀｛-･️\U0001f000-\U0001faff]+")
 _HIDDEN = re.compile("[" + "".join(map(re.escape, sorted(IGNORABLE))) + "]+")
@@ -73,6 +74,12 @@ _FOREIGN = re.compile("[" + "".join(map(re.escape, sorted(LIKE))) + "]")
 #: Two or more words with capitals inside a sentence: a name, whatever language it is in.
 _PROPER = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][\w'’]+(?: [A-ZÀ-Þ][\w'’]+)+")
 _CAPITAL = re.compile(r"(?<![^\W_])[A-ZÀ-Þ]")
+#: A title with the name after it.
+_TITLED = re.compile(rf"(?<!\w)(?i:{pii.TITLE})\.?\s[A-ZÀ-Þ][\w'’]+(?:\s[A-ZÀ-Þ][\w'’]+)*")
+#: What could not be restored says nothing about the language.
+_LOST = re.compile("\\S*�\\S*")
+#: Malay short forms that no other listed language has; two of them make a text one that is written in short forms.
+_SURE_FORMS = frozenset(SHORT_FORMS) - {"ni", "tu", "je", "org", "lg", "kat", "tak", "sy"}
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -87,6 +94,8 @@ def clean(text: str) -> str:
     """The text that can be in a language: repaired, plain letters; tags, handles, names, addresses, codes, signs and emoji become blanks."""
     if not text.isascii():
         text = mojibake.repair(text)[0]
+        if "�" in text:
+            text = _LOST.sub(_blank, text)
         text = _HIDDEN.sub("", text)
         # ends of sentences stay, emoji and other signs go
         text = _SIGNS.sub(lambda m: ". " if m.group()[0] in "。！？" else " ", text)
@@ -100,6 +109,7 @@ def clean(text: str) -> str:
         # street addresses are names, whatever language they are in
         for rx in (pii._ADDRESS, pii._UNIT_STREET):
             text = rx.sub(_blank, text)
+    text = _TITLED.sub(_blank, text)
     for rx in pii._patterns(text):
         text = rx.sub(lambda m: m.group()[: m.start("a") - m.start()] + " " * (m.end() - m.start("a")), text)
     text = _DROP.sub(_blank, text)
@@ -179,8 +189,11 @@ _EDGE = re.compile("(?<=[⺀-鿿ぁ-ヿ฀-๿])(?=[A-Za-z])|(?<=[A-Za-z])(?=[
 
 
 def squeeze(text: str) -> str:
-    """Words with one blank between them, as the network reads them; runs without blanks are cut."""
-    text = " ".join(text.split())
+    """Words with one blank between them in small letters, as the network reads them; short forms are written out, runs without blanks are cut."""
+    words = text.lower().split()
+    if sum(w in _SURE_FORMS for w in words) >= 2:
+        words = [SHORT_FORMS.get(w, w) for w in words]
+    text = " ".join(words)
     return text if text.isascii() else _EDGE.sub(" ", _UNSPACED.sub(r"\1 ", text))
 
 
@@ -210,9 +223,6 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: tuple[int, ...] = S
                     x2 = by[k2][rng.integers(len(by[k2]))]
                     cut = int(rng.integers(16, CROP - 16))
                     x, y = np.concatenate([x[:cut], [33], x2[: CROP - cut]]), np.concatenate([y[:cut], [-1], np.where(_LETTER_BYTE[x2[: CROP - cut]], k2, -1)])
-                if rng.random() < 0.15:
-                    lower = (x >= 98) & (x <= 123)
-                    x = np.where(lower, x - 32, x)
                 ids.append(x)
                 labels.append(y)
             a, lengths = pad(ids)
