@@ -1,12 +1,14 @@
 """Operators without SQL against brute force, and cases that the tables lack."""
 
+import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenloom.operators import evaluate, sampling, windows
-from lumenloom.plans import language, products, themes
+from lumenloom.plans import language, products, reports, themes
 from lumenloom.sources import files
 
 
@@ -98,3 +100,27 @@ def test_language_spans_and_components(spark):
 def test_topic_text_and_pairs(spark):
     r = spark.createDataFrame([("Go @a.b https://x.y/z #Night_Run-2024 now",), (None,)], "t string").select(themes.topic_text(F.col("t")).alias("r")).collect()
     assert [x["r"] for x in r] == ["Go Night Run 2024 now", ""]
+
+
+def test_matching_and_information_of_groupings():
+    rng = random.Random(9)
+    for _ in range(30):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 6)
+        t = [[rng.randrange(9) for _ in range(m)] for _ in range(n)]
+        got = reports.best_matching(t)
+        big, small = (t, m) if n <= m else ([list(c) for c in zip(*t, strict=True)], n)
+        best = max(sum(r[j] for r, j in zip(big, p, strict=True)) for p in itertools.permutations(range(small), len(big)))
+        assert sum(t[i][j] for i, j in got) == best and len({i for i, _ in got}) == len({j for _, j in got}) == min(n, m)
+    assert reports.best_matching([]) == []
+    assert reports.adjusted_information([[5, 0], [0, 7]]) == pytest.approx(1)
+    # against the definition: the mean mutual information over all ways to arrange the second grouping
+    a, b = [0, 0, 0, 1, 1], [0, 0, 1, 1, 1]
+
+    def information(x, y):
+        k = len(x)
+        return sum(c / k * math.log(c * k / (x.count(i) * y.count(j))) for i in set(x) for j in set(y) if (c := sum(p == (i, j) for p in zip(x, y, strict=True))))
+
+    every = [information(a, list(p)) for p in itertools.permutations(b)]
+    mean = sum(every) / len(every)
+    top = (information(a, a) + information(b, b)) / 2
+    assert reports.adjusted_information([[2, 1], [0, 2]]) == pytest.approx((information(a, b) - mean) / (top - mean))
