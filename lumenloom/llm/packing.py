@@ -12,18 +12,20 @@ gathering a length in one task, and join the plan.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Length classes of the linear program; lengths inside a class count as its longest one while pricing.
 CLASSES = 160
 ROUNDS = 240
-#: A public vocabulary, the same on every executor; texts are read whole.
+#: A public vocabulary, sent to every executor by ``share``; texts are read whole.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Rows of one length that one task ranks; a length with more is ranked in parts.
 RANKED = 1_000_000
@@ -42,12 +44,21 @@ def _encoding(path: str):
     return tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def share(spark: SparkSession, tokenizer: str = TOKENIZER) -> None:
+    """Send the vocabulary's file to the executors, once for a session."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lumenloom_vocabulary", None) == tokenizer:
+        sc.addFile(tokenizer)
+        sc._lumenloom_vocabulary = tokenizer
+
+
 def count_tokens(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of a text under a public vocabulary; 0 for NULL and ''. The file must be on every executor."""
+    """Tokens of a text under a public vocabulary; 0 for NULL and ''. The file is the one that ``share`` has sent, else that of its own path."""
 
     @F.pandas_udf("bigint")
     def udf(texts: pd.Series) -> pd.Series:
-        enc = _encoding(tokenizer)
+        sent = SparkFiles.get(os.path.basename(tokenizer))
+        enc = _encoding(sent if os.path.exists(sent) else tokenizer)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return udf.asNondeterministic()(text)

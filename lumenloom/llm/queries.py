@@ -35,7 +35,8 @@ def _fitted(train: Callable, *samples: list) -> dict:
     """A network fitted on bounded samples; queries of one application that draw the same samples fit it once."""
     key = train.__module__ + hashlib.sha256(repr(samples).encode()).hexdigest()
     if key not in _networks:
-        _networks.clear()
+        while len(_networks) >= 4:
+            _networks.pop(next(iter(_networks)))
         _networks[key] = train(*samples)
     return _networks[key]
 
@@ -43,16 +44,20 @@ def _fitted(train: Callable, *samples: list) -> dict:
 # --- 1 ---------------------------------------------------------------------------------------------------------------------------------
 
 
-def _p1_labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Captions, one row per delivery, and the same with ``found`` (parts and stretches), every whole text read by the network."""
+def _p1_network(spark: SparkSession, sf_dir: str) -> dict:
     caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "primary_language", "language_status")
     sure = caps.filter(~F.coalesce(F.lower(F.trim("language_status")), F.lit("")).isin("mixed", "undetermined", "no_text", "insufficient_text"))
-    params = _fitted(language.train, language.sample_rows(sure, "original_text", language.known(F.col("primary_language")), "document_id"))
-    return caps, _pieces(caps.filter(F.length("original_text") > 0)).withColumn("found", language.detector(spark, params)("original_text"))
+    return _fitted(language.train, language.sample_rows(sure, "original_text", language.known(F.col("primary_language")), "document_id"))
+
+
+def _p1_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions with ``found`` (parts and stretches), every whole text read by the network."""
+    caps = _read(spark, sf_dir, "instagram_captions", "document_id", "original_text", "primary_language", "language_status")
+    return _pieces(caps.filter(F.length("original_text") > 0)).withColumn("found", language.detector(spark, _p1_network(spark, sf_dir))("original_text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, df = _p1_labelled(spark, sf_dir)
+    df = _p1_labelled(spark, sf_dir)
     df = df.select("document_id", language.known(F.col("primary_language")).alias("label"), (F.coalesce(F.lower(F.trim("language_status")), F.lit("")) == "mixed").alias("marked"), F.col("found.parts").alias("parts"))
     names = F.transform("parts", lambda x: x["language"])
     has = F.coalesce(F.array_contains(names, F.col("label")), F.lit(False))
@@ -61,7 +66,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, df = _p1_labelled(spark, sf_dir)
+    df = _p1_labelled(spark, sf_dir)
     df = df.select("document_id", F.posexplode("found.stretches").alias("stretch_index", "s"))
     return df.select("document_id", "stretch_index", "s.stretch_text", "s.language", "s.letters", F.round("s.confidence", 4).alias("confidence")).distinct()
 
@@ -109,11 +114,11 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates per source, year of collection and language; a post delivered twice counts once."""
-    df = _p3_scored(spark, sf_dir, "source", "primary_language", "ingested_at")
-    one = df.groupBy("document_id").agg(F.max("score").alias("score"), F.min(F.struct("ingested_at", "source", "primary_language")).alias("first"))
-    label = F.coalesce(language.known(F.col("first.primary_language")), F.lit("unknown"))
-    return one.groupBy(F.coalesce("first.source", F.lit("unknown")).alias("source"), F.year("first.ingested_at").alias("collection_year"), label.alias("language")).agg(
+    """Rates per source, year of collection and language; a post delivered twice counts once. The language is that of the text (problem 1), not its label."""
+    df = _p3_scored(spark, sf_dir, "source", "ingested_at").withColumn("found", language.detector(spark, _p1_network(spark, sf_dir))("original_text"))
+    main = F.coalesce(F.try_element_at("found.parts", F.lit(1))["language"], F.lit("none"))
+    one = df.groupBy("document_id").agg(F.max("score").alias("score"), F.min(F.struct("ingested_at", "source", main.alias("language"))).alias("first"))
+    return one.groupBy(F.coalesce("first.source", F.lit("unknown")).alias("source"), F.year("first.ingested_at").alias("collection_year"), F.col("first.language").alias("language")).agg(
         F.count("*").alias("captions"), F.count_if(F.col("score") > abuse.THRESHOLD).alias("abusive"), F.round(F.avg((F.col("score") > abuse.THRESHOLD).cast("double")), 6).alias("rate")
     )
 
@@ -231,6 +236,7 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents with their tokens, written once: counting tokens is the dear part and is used several times."""
+    packing.share(spark)
     docs = _pieces(_read(spark, sf_dir, "documents", "doc_id", "text", *columns))
     return _kept(docs.select("doc_id", *columns, packing.count_tokens(F.col("text")).alias("tokens")))
 
