@@ -63,7 +63,7 @@ def leakage_free_frame(spark, d):
     return f.join(F.broadcast(n), "l").select("document_id", F.when(F.col("n") < 30, "other").otherwise(F.col("l")).alias("language_group"))
 
 
-@query("weighted_sample")
+@query("weighted_sample", "SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln((('0x' || substr(sha256('enrich|' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / n_chars, doc_id LIMIT 100")
 def weighted_sample(spark, d):
     """100 documents, longer ones likelier."""
     df = T.read(spark, d, "documents", "doc_id", "n_chars")
