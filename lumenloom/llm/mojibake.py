@@ -314,6 +314,8 @@ def _can_hold(codec: str, high: set[str]) -> bool:
 
 
 _PAIR = re.compile("[¡-￮]{2}")
+#: Characters of which some stand wherever UTF-8 was read as an East Asian encoding.
+_EASTERN = re.compile("[\u4e00-\u9fff\uac00-\ud7af\uff61-\uff9f\ue000-\uf8ff]")
 
 
 def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
@@ -334,7 +336,7 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
             if ok:
                 # Thai letters cost little, so lone pairs of them inside Latin text count here
                 options.append((got, 1.0 if codec == "cp874" and _THAI & {*now} and not _THAI & {*got} else 0.0))
-        if _PAIR.search(now) or _INSIDE.search(now):
+        if (_PAIR.search(now) and _EASTERN.search(now)) or _INSIDE.search(now):
             for codec in MULTI:
                 got, ok = _try_multi(now, codec)
                 if ok:
@@ -351,7 +353,7 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, bool, bool]:
                 best, best_cost, how = got, c, True
         if how is None:
             for first in SINGLE[:6]:
-                between, ok = _try_utf8(now, first, deep=True)
+                between, ok = _try_utf8(now, first, deep=True) if _can_hold(first, high) else (now, False)
                 for second in SINGLE[:6] if ok else ():
                     got, ok = _try_utf8(between, second)
                     if ok and (c := cost(got)) < best_cost - 0.2:
