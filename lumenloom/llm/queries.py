@@ -28,17 +28,16 @@ def _pieces(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
 
-_networks: dict[str, dict] = {}
+_networks: dict[str, tuple[str, dict]] = {}
 
 
 def _fitted(train: Callable, *samples: list) -> dict:
-    """A network fitted on bounded samples; queries of one application that draw the same samples fit it once."""
-    key = train.__module__ + hashlib.sha256(repr(samples).encode()).hexdigest()
-    if key not in _networks:
-        while len(_networks) >= 4:
-            _networks.pop(next(iter(_networks)))
-        _networks[key] = train(*samples)
-    return _networks[key]
+    """A network fitted on bounded samples; queries one after another that draw the same samples fit it once."""
+    key = hashlib.sha256(repr(samples).encode()).hexdigest()
+    name = f"{train.__module__}.{train.__qualname__}"
+    if _networks.get(name, ("",))[0] != key:
+        _networks[name] = key, train(*samples)
+    return _networks[name][1]
 
 
 # --- 1 ---------------------------------------------------------------------------------------------------------------------------------
