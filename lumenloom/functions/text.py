@@ -1,4 +1,4 @@
-"""Text functions as column expressions: all of them stay in the JVM unless said otherwise."""
+"""Text functions as column expressions: all of them stay in the JVM unless said otherwise."""
 
 from __future__ import annotations
 

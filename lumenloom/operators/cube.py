@@ -52,11 +52,6 @@ def roll_up(parts: DataFrame, parent: str, child_keys: list[str], label: str) ->
     return g.select(parent, *child_keys, "mentions", F.when(F.col("__n") == 1, F.col("__l")).otherwise("mixed").alias(label))
 
 
-def pivot_counts(df: DataFrame, rows: list[str], column: str, values: tuple[str, ...], prefix: str = "") -> DataFrame:
-    """Counts in wide form over an explicit list of values: no extra pass to find them."""
-    return df.groupBy(*rows).agg(*[F.count_if(F.col(column) == v).alias(f"{prefix}{v}") for v in values])
-
-
 def unpivot_dimensions(df: DataFrame, dims: list[str], *measures: Column) -> DataFrame:
     """One grouped pass over many dimensions in long form (V5): each row once per dimension, partial sums before the shuffle."""
     long = df.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("__d"))

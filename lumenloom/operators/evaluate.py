@@ -1,4 +1,4 @@
-"""Gold against prediction: metrics, agreement, matching, grids."""
+"""Gold against prediction: metrics, agreement, matching, grids."""
 
 from __future__ import annotations
 

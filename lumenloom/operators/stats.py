@@ -1,4 +1,4 @@
-"""Inference on counts: intervals, tests, effect sizes, corrections for many tests."""
+"""Inference on counts: intervals, tests, effect sizes, corrections for many tests."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lumenloom.functions import text as X
-from lumenloom.operators import graphs, windows
+from lumenloom.operators import windows
 from lumenloom.registry import query
 from lumenloom.sources import tables as T
 
@@ -122,17 +122,3 @@ def document_union(spark, d):
     a = T.captions(spark, d, "event_year", "original_text").withColumn("origin", F.lit("instagram"))
     b = T.one_per_key(T.read(spark, d, "blog_reviews", "document_id", "event_year", "original_text", "ingested_at"), ["document_id"], F.col("ingested_at")).withColumn("origin", F.lit("review"))
     return a.unionByName(b).select("origin", "document_id", T.filled("event_year", "Unknown").alias("event_year"), F.length("original_text").cast("bigint").alias("chars"))
-
-
-_MERGES = "region_nation"
-
-
-@query(
-    "merge_roots",
-    """WITH RECURSIVE e AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS target FROM nation), r AS (SELECT id, id AS root, target, 0 AS steps FROM e UNION ALL SELECT r.id, r.target, e.target, r.steps + 1 FROM r JOIN e ON e.id = r.target)
-SELECT id, root, steps FROM r WHERE target IS NULL""",
-)
-def merge_roots(spark, d):
-    """Chains of merge pointers to their roots by doubling: as many joins as the logarithm of the longest chain (U4)."""
-    e = T.read(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey") - 1).alias("target"))
-    return graphs.roots(e, "id", "target").filter(~F.col("cycle")).select("id", "root", F.col("steps").cast("int").alias("steps"))

@@ -1,4 +1,4 @@
-"""Agreement, metrics and grids on the reviewers' and models' labels."""
+"""Agreement, metrics and grids on the reviewers' and models' labels."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Raw exports into tables, keyed merges."""
+"""Raw exports into tables, keyed merges, sinks and readers."""
 
 from __future__ import annotations
 

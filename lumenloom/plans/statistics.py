@@ -52,12 +52,22 @@ def year_tests(spark, d):
     return _tests(spark, d).select("aspect", "statistic", "df", "p", "p_bh", "p_holm", "cramers_v", cube.effect_band(F.col("cramers_v")).alias("effect"))
 
 
-@query("adjusted_values", """WITH t AS (SELECT n_nationkey AS id, n_regionkey AS family, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE ((n_nationkey * 37) % 100 + 1) / 400.0::DOUBLE END AS p FROM nation), u AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r FROM t WHERE p IS NOT NULL),
-v AS (SELECT *, p * m / r AS bh, p * (m - r + 1) AS ho FROM u) SELECT id, family, p, round(least(1, min(bh) OVER (PARTITION BY family ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 12) AS p_bh, round(least(1, max(ho) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 12) AS p_holm FROM v UNION ALL SELECT id, family, p, NULL, NULL FROM t WHERE p IS NULL""")
+_APPROX = "exp(-0.717 * z - 0.416 * z * z)"
+
+
+@query("adjusted_values", f"""WITH d AS (SELECT coalesce(nullif(source, ''), 'unknown') AS family, coalesce(nullif(lang, ''), 'unknown') AS id, coalesce(event_year = '2024', FALSE)::INT AS k FROM documents), g AS (SELECT family, id, count(*) AS n, sum(k) AS k FROM d GROUP BY ALL), a AS (SELECT sum(k)::DOUBLE / sum(n) AS p0 FROM g), z AS (SELECT family, id, CASE WHEN n * p0 * (1 - p0) >= 1 THEN abs(k - n * p0) / sqrt(n * p0 * (1 - p0)) END AS z FROM g, a),
+t AS (SELECT family, id, round({_APPROX}, 12) AS p FROM z), u AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r FROM t WHERE p IS NOT NULL),
+v AS (SELECT *, p * m / r AS bh, p * (m - r + 1) AS ho FROM u) SELECT id, family, p, round(least(1, min(bh) OVER (PARTITION BY family ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 10) AS p_bh, round(least(1, max(ho) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 10) AS p_holm FROM v UNION ALL SELECT id, family, p, NULL, NULL FROM t WHERE p IS NULL""")
 def adjusted_values(spark, d):
-    """Both corrections with ties and missing values, against SQL."""
-    t = T.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("family"), F.when(F.col("n_nationkey") % 7 != 3, ((F.col("n_nationkey") * 37) % 100 + 1) / F.lit(400.0)).alias("p"))
-    return stats.adjust(t, ["family"], "p", ["id"]).select("id", "family", "p", F.round("p_bh", 12).alias("p_bh"), F.round("p_holm", 12).alias("p_holm"))
+    """Both corrections over tests of one year's share in each language of each source; languages with few documents are not tested.
+
+    The p-values are those of a common approximation to the normal tail, which SQL can compute as well.
+    """
+    t = T.read(spark, d, "documents", "source", "lang", "event_year").groupBy(T.filled("source").alias("family"), T.filled("lang").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("event_year") == "2024").alias("k"))
+    t = t.crossJoin(F.broadcast(t.agg((F.sum("k") / F.sum("n")).alias("p0"))))  # one row
+    var = F.col("n") * F.col("p0") * (1 - F.col("p0"))
+    t = t.withColumn("z", F.when(var >= 1, F.abs(F.col("k") - F.col("n") * F.col("p0")) / F.sqrt(var))).select("family", "id", F.round(F.exp(-0.717 * F.col("z") - 0.416 * F.col("z") * F.col("z")), 12).alias("p"))
+    return stats.adjust(t, ["family"], "p", ["id"]).select("id", "family", "p", F.round("p_bh", 10).alias("p_bh"), F.round("p_holm", 10).alias("p_holm"))
 
 
 @query("pairwise_years", _CELLS + """ SELECT a.aspect, a.year AS year_a, b.year AS year_b, round(b.k::DOUBLE / b.n - a.k::DOUBLE / a.n, 9) AS difference, round(b.k::DOUBLE / b.n - a.k::DOUBLE / a.n - 1.959963984540054 * sqrt((b.k::DOUBLE / b.n) * (1 - b.k::DOUBLE / b.n) / b.n + (a.k::DOUBLE / a.n) * (1 - a.k::DOUBLE / a.n) / a.n), 9) AS low, round(b.k::DOUBLE / b.n - a.k::DOUBLE / a.n + 1.959963984540054 * sqrt((b.k::DOUBLE / b.n) * (1 - b.k::DOUBLE / b.n) / b.n + (a.k::DOUBLE / a.n) * (1 - a.k::DOUBLE / a.n) / a.n), 9) AS high, round(((b.k + 0.5::DOUBLE) * (a.n - a.k + 0.5::DOUBLE)) / ((b.n - b.k + 0.5::DOUBLE) * (a.k + 0.5::DOUBLE)), 8) AS odds_ratio FROM cells a JOIN cells b ON a.aspect = b.aspect AND a.year < b.year""")

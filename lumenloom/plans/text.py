@@ -1,4 +1,4 @@
-"""Text views, word tables and quality (X1-X27, A14-A17, S2-S3 views)."""
+"""Text views, word tables and quality."""
 
 from __future__ import annotations
 

@@ -61,21 +61,21 @@ def refined_texts(spark, d):
     return c.select("document_id", F.array_join(words, " ").alias("representation"), F.array_join(kept, " ").alias("kept_tags"))
 
 
-@query("redacted_reviews", f"WITH b AS (SELECT * FROM blog_reviews QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ingested_at) = 1), names AS (SELECT list(author ORDER BY length(author) DESC, author) AS n FROM (SELECT DISTINCT author FROM b WHERE length(author) > 2)) SELECT document_id, regexp_replace(list_reduce(list_prepend(coalesce(original_text, ''), n), lambda t, a: regexp_replace(t, '(?i)' || regexp_escape(a), '[AUTHOR]', 'g')), '{_URL}', '[URL]', 'g') AS redacted FROM b, names")
+@query("redacted_reviews", f"WITH b AS (SELECT * FROM blog_reviews QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ingested_at) = 1), names AS (SELECT list(author ORDER BY length(author) DESC, author) AS n FROM (SELECT DISTINCT author FROM b WHERE length(author) > 2)) SELECT document_id, regexp_replace(list_reduce(list_prepend(coalesce(original_text, ''), n), lambda t, a: regexp_replace(t, '(?i)\\b' || regexp_escape(a) || '\\b', '[AUTHOR]', 'g')), '{_URL}', '[URL]', 'g') AS redacted FROM b, names")
 def redacted_reviews(spark, d):
     """Reviews without the names of their authors, longest first in any case, and without addresses.
 
-    A name is removed where its own letters stand: names are joined to the reviews that hold them, no list of all names is
-    put into one pattern.
+    Names are found by a join of runs of one to four words with the words of names, so neither a list of all names nor a
+    pattern of them is ever in one place, and a frequent first word matches nothing by itself.
     """
     b = T.one_per_key(T.read(spark, d, "blog_reviews", "document_id", "ingested_at", "author", "original_text"), ["document_id"], F.col("ingested_at"))
-    names = b.filter(F.length("author") > 2).select(F.col("author").alias("name"), F.lower(F.regexp_extract("author", r"^\w+", 0)).alias("k")).distinct()
-    low = F.lower(X.or_empty(F.col("original_text")))
-    # a name can only stand where its first word does
-    heads = b.select("document_id", low.alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))).alias("k"))
-    inside = heads.join(names, "k").filter(F.contains(F.col("t"), F.lower("name"))).groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name"))).alias("names"))
+    words = lambda c: F.regexp_extract_all(F.lower(X.or_empty(c)), F.lit(r"\w+"), F.lit(0))
+    names = b.filter(F.length("author") > 2).select(F.col("author").alias("name"), F.array_join(words(F.col("author")), " ").alias("k")).distinct()
+    t = b.select("document_id", words(F.col("original_text")).alias("w"))
+    runs = F.array_distinct(F.flatten(F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " ")))))
+    inside = t.select("document_id", F.explode(runs).alias("k")).join(names, "k").groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name"))).alias("names"))
     j = b.join(inside, "document_id", "left")
-    cut = F.aggregate(F.coalesce("names", F.array().cast("array<struct<n:int,name:string>>")), X.or_empty(F.col("original_text")), lambda t, x: F.regexp_replace(t, F.concat(F.lit("(?i)\\Q"), x["name"], F.lit("\\E")), F.lit("[AUTHOR]")))
+    cut = F.aggregate(F.coalesce("names", F.array().cast("array<struct<n:int,name:string>>")), X.or_empty(F.col("original_text")), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b\Q"), x["name"], F.lit(r"\E\b")), F.lit("[AUTHOR]")))
     return j.select("document_id", F.regexp_replace(cut, X.URL, "[URL]").alias("redacted"))
 
 

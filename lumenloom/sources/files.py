@@ -1,4 +1,4 @@
-"""Readers and writers: JSON of several shapes, JSON lines, keyed upserts, manifests."""
+"""Readers and writers: JSON of several shapes, JSON lines, keyed upserts, manifests."""
 
 from __future__ import annotations
 

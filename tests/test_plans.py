@@ -124,3 +124,10 @@ def test_matching_and_information_of_groupings():
     mean = sum(every) / len(every)
     top = (information(a, a) + information(b, b)) / 2
     assert reports.adjusted_information([[2, 1], [0, 2]]) == pytest.approx((information(a, b) - mean) / (top - mean))
+
+
+def test_names_of_authors_are_cut_at_words(spark, tmp_path):
+    rows = [("a", "Ann Lee", "ann lee met Ann-Lee, annual leek. See https://x.y"), ("b", "Lee", "ANN  LEE and lee"), ("c", None, None), ("d", "xy", "xy stays")]
+    spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "document_id string, author string, original_text string, ingested_at int").write.parquet(str(tmp_path / "blog_reviews.parquet"))
+    got = {r["document_id"]: r["redacted"] for r in themes.redacted_reviews(spark, str(tmp_path)).collect()}
+    assert got == {"a": "[AUTHOR] met Ann-[AUTHOR], annual leek. See [URL]", "b": "ANN  [AUTHOR] and [AUTHOR]", "c": "", "d": "xy stays"}
