@@ -99,7 +99,6 @@ _AT = re.compile(r"(?<=[\w])\s*(?:[\(\[\{<]\s*(?:at|@|arroba|di)\s*[\)\]\}>])\s*
 _DOT = re.compile(r"(?<=\w)\s*[\(\[\{<]\s*(?:dot|\.|punto|titik)\s*[\)\]\}>]\s*(?=\w)|(?<=\w)\s+(?:dot|punto)\s+(?=\w)", re.I)
 _SPELLED = re.compile(r"(?:(?:\b(?:" + "|".join(w for w in DIGIT_WORDS if w.isascii()) + r")\b|\d|[" + "".join(w for w in DIGIT_WORDS if not w.isascii()) + r"])[\s,.\-]*){7,}", re.I)
 _ONE = re.compile(r"\b(?:" + "|".join(w for w in DIGIT_WORDS if w.isascii()) + r")\b|[" + "".join(w for w in DIGIT_WORDS if not w.isascii()) + "]", re.I)
-_OH = re.compile(r"(?<=[\d+\- .(])[oO](?=[\d\- .)]*\d)|(?<=\d)[oOlI](?=[\d-])")
 
 
 _BRACKET_AT = re.compile(r"[\(\[\{<]\s*(?:at|@|arroba|di)\s*[\)\]\}>]|\s@\s")
