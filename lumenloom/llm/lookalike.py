@@ -177,9 +177,12 @@ def _token(token: str, main: str, trie: Trie | Joined, near: str = "") -> str:
 
 
 def _cased(word: str, like: str) -> str:
+    """A word in the case of a token; a character read as another letter than it shows takes the case of the letters around it."""
     if len(word) != len(like):
         return word
-    return "".join(w.upper() if x.isupper() else w for w, x in zip(word, like, strict=True))
+    own = [LIKE.get(x, x).lower() == w or x.lower() == w for w, x in zip(word, like, strict=True)]
+    shouted = all(x.isupper() for x, o in zip(like, own, strict=True) if o and x.isalpha())
+    return "".join(w.upper() if (x.isupper() if o else shouted) else w for w, x, o in zip(word, like, own, strict=True))
 
 
 def _cyrillic(text: str) -> str:

@@ -88,6 +88,29 @@ def test_automaton_equals_brute_force(trie):
     assert t.search("гun", 0) == [] and t.search("rυn", 0)[0][2] == "run"
 
 
+def test_the_vocabulary_decides_what_a_character_stands_for():
+    words = [("стартом", 9), ("перед", 9), ("month", 5), ("hello", 7), ("here", 3), ("cover", 4), ("river", 4)]
+    trie, empty = lookalike.trie_of(words), lookalike.Trie()
+    for text, want, by_table in (
+        ("перед стaртом месяц", "перед стартом месяц", "перед ctaptom месяц"), ("say heӏІo here", "say hello here", None), ("the rіνer and its coνer", "the river and its cover", None), ("HEӀӀO", "HELLO", None),
+    ):
+        assert lookalike.canonical(text, trie) == want
+        if by_table:
+            assert lookalike.canonical(text, empty) == by_table
+    # another word is no reading of a token, however near it is
+    assert lookalike.canonical("соνen", trie) == "coven"
+    assert [w for _, _, w in trie.search("HELLO")] == ["hello"] and trie.search("hella") == []
+
+
+def test_a_worker_keeps_the_trie_of_the_list_it_was_given():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    a, b = Shared([("one", 3), ("two", 2), ("six", 1)]), Shared([("one", 3), ("ten", 2), ("six", 1)])  # equal length and ends
+    assert lookalike._worker_trie(a).search("two") and not lookalike._worker_trie(b).search("two") and lookalike._worker_trie(b).search("ten")
+
+
 def test_normalize_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([("ｒun", "old"), (None, "old"), ("", "old")], "t string, canonical_text string")
     got = [r["canonical_text"] for r in lookalike.normalize(df, "t", []).collect()]
