@@ -9,6 +9,10 @@ from pyspark.sql.window import Window as W
 from lumenloom.operators.cube import ratio
 
 
+#: Query vectors that may be broadcast.
+QUERIES = 20_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -27,11 +31,13 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, q_id: str = "q_id", t_id: str = "t_id") -> DataFrame:
-    """The k targets of highest cosine for each query (W9). ``queries`` (id, vector) is a stated, small set and is broadcast;
-    the targets stream past it and each task keeps its k best before the shuffle."""
+    """The k targets of highest cosine for each query (W9). ``queries`` (id, vector) is a stated set: up to ``QUERIES`` of them are
+    broadcast and the targets stream past them; more meet the targets block by block of partitions. Each task keeps its k best
+    before the shuffle."""
     q = queries.select(q_id, unit(F.col("vector")).alias("qv"))
     t = targets.select(t_id, unit(F.col("vector")).alias("tv"))
-    x = t.crossJoin(F.broadcast(q)).select(q_id, t_id, dot(F.col("qv"), F.col("tv")).alias("cosine"))
+    q = F.broadcast(q) if queries.count() <= QUERIES else q
+    x = t.crossJoin(q).select(q_id, t_id, dot(F.col("qv"), F.col("tv")).alias("cosine"))
     w = W.partitionBy(q_id).orderBy(F.desc(F.round("cosine", 12)), t_id)
     return x.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 

@@ -94,3 +94,13 @@ def aspect_term_overlap(spark, d):
     grid = sa.join(F.broadcast(sb), F.col("a") < F.col("b"))
     j = grid.join(both, ["a", "b"], "left").fillna(0, ["both"])
     return j.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both")).cast("double")).alias("jaccard"))
+
+
+@query("nearest_in_group", "WITH q AS (SELECT vec_id AS q_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT q_id, e.vec_id AS t_id, round(list_dot_product(q.v, e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) AS cosine FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.q_id) SELECT q_id, t_id, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, t_id) AS rank FROM x QUALIFY rank <= 3")
+def nearest_in_group(spark, d):
+    """Every fiftieth vector against all rows of its own group, exact (W9): the three best of each task are kept before the shuffle."""
+    e = T.read(spark, d, "embeddings", "vec_id", "label", "embedding").select("vec_id", "label", topics.unit(F.col("embedding")).alias("v"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "label", F.col("v").alias("qv"))
+    j = e.join(q, "label").filter("q_id <> vec_id").select("q_id", F.col("vec_id").alias("t_id"), F.round(topics.dot(F.col("qv"), F.col("v")), 9).alias("cosine"))
+    w = W.partitionBy("q_id").orderBy(F.desc("cosine"), "t_id")
+    return j.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 3").withColumn("cosine", F.round("cosine", 6))
