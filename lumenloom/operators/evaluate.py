@@ -93,7 +93,7 @@ def bootstrap(df: DataFrame, value: Column, id_col: str, replicates: int = 1000,
     Rows are expanded over replicates inside their task and summed there, so the shuffle has one row per task and replicate.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("replicate")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight = F.size(F.filter(F.array(*[F.lit(c) for c in _poisson_cuts()]), lambda c: c < u))
     x = df.select(value.cast("double").alias("v"), id_col, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    m = x.withColumn("w", weight).groupBy("replicate").agg(ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+    weight = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in _poisson_cuts()), F.lit(0))
+    m = x.withColumn("u", u).withColumn("w", weight).groupBy("replicate").agg(ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     return m.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
