@@ -40,7 +40,7 @@ sila aktifkan javascript pada pelayar anda | sila aktifkan skrip pada pelayar an
 the requested url <u> was not found on this server | you don't have permission to access this resource | you don't have permission to access <u> on this server | additionally a <n> not found error was encountered while trying to use an errordocument
 that page can't be found | it looks like nothing was found at this location maybe try a search | sorry this page isn't available | the link you followed may be broken or the page may have been removed | this page could not be found | the page you are looking for does not exist | page not found
 error establishing a database connection | the server is temporarily unable to service your request due to maintenance downtime or capacity problems | this content is not available in your country | this content is no longer available | this video is not available in your region
-the resource has been moved permanently | moved permanently the document has moved here | object moved to here | apache server at <u> port <n> | too many requests please try again later | too many requests retry in <n> seconds | slow down too many requests | your session has expired please sign in again to continue
+the resource has been moved permanently | moved permanently the document has moved here | object moved to here | apache server at <u> port <n> | too many requests please try again later | too many requests retry in <n> seconds | your session has expired please sign in again to continue
 traceback most recent call last | keyerror <w> | file <u> line <n> in <w> | warning include failed to open stream | warning include failed opening <u> for inclusion in <u> on line <n> | fatal error uncaught exception in <u> on line <n> | notice undefined index in <u> on line <n> | nullpointerexception at java lang | stack trace
 something went wrong please try again later | an unexpected error occurred | this site can't be reached | the connection has timed out | bad request your browser sent a request that this server could not understand | site under construction come back soon | this site is under maintenance we'll be back soon
 halaman tidak dijumpai | sila kembali ke laman utama | halaman yang anda cari tidak ditemukan | página no encontrada | la página que busca no existe | cette page n'existe pas ou a été déplacée | page introuvable | die angeforderte seite wurde nicht gefunden | seite nicht gefunden | página não encontrada | страница не найдена | không tìm thấy trang | ไม่พบหน้าที่คุณต้องการ | hindi nahanap ang pahina
@@ -56,9 +56,9 @@ sorry you have been blocked | ray id performance and security by | attention req
     "filler": """
 lorem ipsum | lorem ipsum dolor sit amet | <latin> <latin> <latin> <latin> <latin> | <key> <key> <key> <key> <key> | <rep> <rep> <rep> <rep> <rep> | <qwerty>
 this is a placeholder post edit or delete it then start writing | welcome to wordpress this is your first post edit or delete it then start writing | hello world this is your first post | this is an example page | sample text | placeholder text | dummy text | replace this text | replace this paragraph with your own words | edit this text
-title goes here | subtitle goes here | body goes here | text goes here | your text goes here | your review goes here | content goes here | description goes here | your text here | insert text here | add your content here | write something here | add a short description here | enter a description max <n> words
-headline text text text | draft do not publish | do not publish body missing | content to follow | paragraph <n> content to follow | text to come | content coming soon | todo write the intro | todo add quotes | tbd | to be written
-contenu à venir | votre texte ici | remplacez ce texte | texto de ejemplo | texto de relleno | sustituir antes de publicar | inserte aquí su texto | inserte aquí el resumen | escriba aquí | blindtext | bitte ersetzen | hier steht ihr text | hier kommt ihr text | teks contoh | gantikan perenggan ini | gantikan teks ini dengan kandungan sebenar | isi berita di sini | tulis isi di sini | masukkan teks di sini | insira seu texto aqui | вставьте текст сюда | текст заглушка | nội dung đang cập nhật
+title goes here | subtitle goes here | body goes here | text goes here | your text goes here | content goes here | description goes here | your text here | insert text here | add your content here | write something here | enter a description max <n> words
+draft do not publish | content to follow | paragraph <n> content to follow | text to come | content coming soon | tbd | to be written
+contenu à venir | votre texte ici | remplacez ce texte | texto de ejemplo | texto de relleno | inserte aquí su texto | escriba aquí | blindtext | bitte ersetzen | hier steht ihr text | hier kommt ihr text | teks contoh | gantikan teks ini dengan kandungan sebenar | isi berita di sini | tulis isi di sini | masukkan teks di sini | insira seu texto aqui | вставьте текст сюда | текст заглушка | nội dung đang cập nhật
 此处输入正文 | 此处填写内容 | 请在此输入内容 | 示例文本 | ここに本文を入力してください | ダミーテキスト | サンプルテキスト | 여기에 내용을 입력하세요
 """,
 }
