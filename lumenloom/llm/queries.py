@@ -257,7 +257,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for spec in sorted(_read(spark, sf_dir, "container_specs").collect(), key=lambda r: r["capacity_tokens"]):  # a small table of capacities
         one = packing.fill(docs, "doc_id", "tokens", spec["capacity_tokens"]).select(F.lit(spec["spec_name"]).alias("spec_name"), "container_id", F.col("item_id").alias("doc_id"), "piece", F.col("size").alias("tokens"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else docs.limit(0).select(F.lit("").alias("spec_name"), F.lit(0).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("piece"), "tokens")
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
