@@ -87,6 +87,8 @@ def crosswalk(df: DataFrame, old: str, new: str) -> DataFrame:
 
 def kmeans(df: DataFrame, vector: str, k: int, cut: float, seed: int = 1) -> DataFrame:
     """Clusters by k-means over unit vectors; rows farther than ``cut`` (cosine distance) from their centre are outliers, -1."""
+    if df.isEmpty():
+        return df.withColumn("topic", F.lit(-1))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -40,3 +40,16 @@ def test_query(spark, con, name):
     want = con.execute(sql).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(norm(got), norm(want), check_dtype=False)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("empty")
+    for f in glob.glob(f"{SF}/*.parquet"):
+        spark.read.parquet(f).limit(0).write.parquet(f"{path}/{os.path.basename(f)}")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query_on_empty_tables(spark, empty, name):
+    registry.queries()[name](spark, empty).collect()
