@@ -385,3 +385,13 @@ def test_mix_reaches_the_targets(spark):
 
 def test_character_tables():
     assert chars.skeleton("а") == "a" and chars.plain("𝚛") == "r" and chars.plain("①") == "①" and chars.script("跑") == "CJK"
+
+
+def test_what_is_kept_of_stretches_depends_on_their_place():
+    mojibake._odds_kept.cache_clear()
+    pair = next(a + z for a in "Г" for z in map(chr, range(0x400, 0x500)) if mojibake.LONE.search(f"x{a}{z}x"))
+    # the same stretch against a letter and apart, in either order, and one beyond the bound of what is kept
+    alone, inside = mojibake.cost(f"{pair} ok"), mojibake.cost(f"x{pair}x")
+    assert inside == alone + 2.0 and mojibake.cost(f"{pair} ok") == alone and mojibake.residue(f"x{pair}x")
+    assert mojibake.cost("é" * (mojibake.KEPT + 1)) > mojibake.cost("é" * mojibake.KEPT)
+    assert mojibake._odds_kept.cache_info().currsize == 3
